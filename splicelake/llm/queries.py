@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, records
+from . import language, licenses, mixing, packing, quality, records, simhash
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,11 +31,32 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(load(spark, sf_dir, "documents"))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(load(spark, sf_dir, "documents")).drop("proportions")
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_binary_records": op2_binary_records,
         "op3_source_mixing": op3_source_mixing,
+        "op4_compression_bands": op4_compression_bands,
+        "op5_language_mixture": op5_language_mixture,
+        "op9_simhash_components": op9_simhash_components,
+        "op10_license_rules": op10_license_rules,
     }
 
 
