@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, quality, records, simhash
+from . import language, licenses, mixing, packing, quality, records, simhash, suffixes
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(load(spark, sf_dir, "documents")).drop("proportions")
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.mark(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": op3_source_mixing,
         "op4_compression_bands": op4_compression_bands,
         "op5_language_mixture": op5_language_mixture,
+        "op6_suffix_repeats": op6_suffix_repeats,
         "op9_simhash_components": op9_simhash_components,
         "op10_license_rules": op10_license_rules,
     }
