@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, quality, records, simhash, suffixes
+from . import html_text, language, licenses, mixing, neighbours, packing, quality, records, simhash, suffixes
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,14 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.mark(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(load(spark, sf_dir, "embeddings"))
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.render(load(spark, sf_dir, "pages"))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_compression_bands": op4_compression_bands,
         "op5_language_mixture": op5_language_mixture,
         "op6_suffix_repeats": op6_suffix_repeats,
+        "op7_cross_polytope": op7_cross_polytope,
+        "op8_html_layout": op8_html_layout,
         "op9_simhash_components": op9_simhash_components,
         "op10_license_rules": op10_license_rules,
     }
