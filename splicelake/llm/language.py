@@ -164,3 +164,25 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, proportions map<string,double>")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.4, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with at least this share.
+
+    Rows go batch by batch through the model and are never shuffled.
+    """
+    languages, table = train(docs, train_docs)
+    shared = docs.sparkSession.sparkContext.broadcast((languages, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, model = shared.value
+        for batch in batches:
+            for some in pieces_of(batch, "text", 1 << 20):
+                texts = some.column(some.schema.get_field_index("text")).to_pylist()
+                use = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
+                keep = np.zeros(len(texts), bool)
+                if use:
+                    keep[use] = infer([texts[i] for i in use], model)[1] >= least_score
+                yield some.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -43,7 +43,7 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for each document.
+    """doc_id, source, size, source_size, target, taken and copies for each document.
 
     A source repeats ``floor(target / size)`` times whole.  The rest of its
     target is taken by whole documents once more: a source is dealt into strata
@@ -73,4 +73,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     near = part.orderBy(F.col("off").asc_nulls_last(), "h", "doc_id", "size")
     extra = F.col("first") | ((F.row_number().over(near) == 1) & (F.col("off") < F.abs(F.col("gap"))))
     x = x.withColumn("copies", F.least(F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"), F.lit(int(epochs)).cast("long")))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def repeat(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixture itself: each row of docs, all columns, as often as the mix takes it."""
+
+    def numbered(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy("__id").orderBy("__source", "__size")
+        return df.withColumn("__row", F.row_number().over(order))
+
+    times = mix(docs, weights, share, epochs, seed)
+    times = numbered(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
+    times = times.select(F.col("__id").alias("__t_id"), F.col("__row").alias("__t_row"), F.col("copies").alias("__copies"))
+    rows = numbered(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text"))}))
+    taken = rows.join(times, F.col("__id").eqNullSafe(F.col("__t_id")) & (F.col("__row") == F.col("__t_row"))).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

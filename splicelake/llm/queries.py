@@ -28,7 +28,7 @@ def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(load(spark, sf_dir, "documents")).drop("source", "copies")
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

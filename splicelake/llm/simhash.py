@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._runtime import materialize, pieces_of
 from .components import components
@@ -55,16 +56,19 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """The columns ``keep`` and the fingerprint of every whole text, its 64 bits as a signed long."""
+    columns = [*keep, *(["text"] if "text" not in keep else [])]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in pieces_of(batch, "text"):
-                fp = np.array([fingerprint(t, size) for t in some.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                texts = some.column(columns.index("text")).to_pylist()
+                fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(fp)], names=[*keep, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 class Tree:
@@ -199,6 +203,15 @@ def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int =
     return fps.select("fp").mapInArrow(deal, "shard long, guest boolean, data binary").groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
+def classes_of(printed: DataFrame, r: int = RADIUS, bands: int = BANDS) -> DataFrame:
+    """fp, least (its smallest doc_id) and component_id of each distinct fp of (doc_id, fp)."""
+    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes, r, bands), "links")
+    named = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    return classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp long, component_id long (smallest doc_id that links reach) of every row.
 
@@ -208,10 +221,22 @@ def near_duplicates(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size:
     component has no other id.  Repeated rows share a component.  An empty
     table gives no rows.
     """
-    printed = materialize(fingerprints(docs, size), "fingerprints")
-    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, r, bands), "links")
-    named = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    found = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(found, "fp").select("doc_id", "fp", "component_id")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    printed = materialize(fingerprints(plain, size), "fingerprints")
+    return printed.join(classes_of(printed, r, bands), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: those of smallest doc_id.
+
+    Of several rows with that doc_id and fingerprint the one with the least text
+    stays.  A row without doc_id stays, as nothing can name it.
+    """
+    printed = materialize(fingerprints(docs, size, tuple(docs.columns), "__fp"), "printed")
+    classes = classes_of(printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), r, bands)
+    chosen = classes.where("least = component_id").select(F.col("least").alias("__id"), F.col("fp").alias("__own"))
+    first = chosen.groupBy("__id").agg(F.min("__own").alias("__own"))
+    named = printed.where("doc_id is not null").join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
+    order = Window.partitionBy("doc_id", "__fp").orderBy("text")
+    once = named.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*docs.columns)
+    return once.unionByName(printed.where("doc_id is null").select(*docs.columns))
