@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import intervals, ordered, paths, relational
+from ..operators import alignment, components, intervals, ordered, paths, relational, similarity
+from ..sources import sinks
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
 
@@ -145,9 +146,9 @@ tq AS (SELECT family, canonical_path, alternative_path, a, unnest(cs) AS c FROM
 pr AS (SELECT DISTINCT family, a, c FROM tq),
 jd AS (SELECT pr.family, pr.a, pr.c, count(DISTINCT s2.trx) < 2 AS exclusive FROM pr
        JOIN seg s1 ON s1.family = pr.family AND s1.node = pr.a LEFT JOIN seg s2 ON s2.family = pr.family AND s2.node = pr.c AND s2.trx = s1.trx GROUP BY 1, 2, 3),
-vd AS (SELECT tq.family, canonical_path, alternative_path, bool_and(exclusive) AS every, bool_or(exclusive) AS some
+vd AS (SELECT tq.family, canonical_path, alternative_path, bool_and(exclusive) AS all_ex, bool_or(exclusive) AS any_ex
        FROM tq JOIN jd ON tq.family = jd.family AND tq.a = jd.a AND tq.c = jd.c GROUP BY 1, 2, 3)
-SELECT se.family, se.canonical_path, se.alternative_path, ase, CASE WHEN every THEN 'mutually_exclusive' WHEN some THEN 'partially_mutually_exclusive' ELSE '' END AS mutual_exclusivity
+SELECT se.family, se.canonical_path, se.alternative_path, ase, CASE WHEN all_ex THEN 'mutually_exclusive' WHEN any_ex THEN 'partially_mutually_exclusive' ELSE '' END AS mutual_exclusivity
 FROM se LEFT JOIN vd ON se.family = vd.family AND se.canonical_path = vd.canonical_path AND se.alternative_path = vd.alternative_path""")
 def mutual_exclusivity(spark, sf_dir):
     s = segments(spark, sf_dir)
@@ -197,7 +198,7 @@ def subexon_rank(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT DISTINCT l_suppkey AS gene, l_partkey AS place FROM lineitem),
-m AS (SELECT *, CASE WHEN lag(at) OVER (PARTITION BY gene ORDER BY place) + 1 = place THEN 0 ELSE 1 END AS n FROM p),
+m AS (SELECT *, CASE WHEN lag(place) OVER (PARTITION BY gene ORDER BY place) + 1 = place THEN 0 ELSE 1 END AS n FROM p),
 r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY gene ORDER BY place) AS BIGINT) AS island FROM m)
 SELECT gene, island, min(place) AS lo, max(place) AS hi, count(*) AS n FROM r GROUP BY 1, 2""")
 def contiguous_islands(spark, sf_dir):
@@ -469,6 +470,133 @@ def counts_most_common(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users")).orderBy(F.desc("n"), "event_type")
 
 
+# alignments: the words of a brand's parts are the rows of one alignment
+
+_ROWS = """al AS (SELECT p_brand, p_partkey, translate(md5(p_name), '0123456789abcdef', '-CGT-CGTC-GT-TTT') AS aligned FROM part),
+pos AS (SELECT p_brand, p_partkey, unnest(string_split(aligned, '')) AS x, generate_subscripts(string_split(aligned, ''), 1) AS "column" FROM al)"""
+
+
+def _rows(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_brand", "p_partkey", F.translate(F.md5("p_name"), "0123456789abcdef", "-CGT-CGTC-GT-TTT").alias("aligned"))
+
+
+@query(f"""WITH {_ROWS}, n AS (SELECT p_brand, "column", x, count(*) AS n FROM pos GROUP BY 1, 2, 3),
+g AS (SELECT p_brand, "column", sum(n) FILTER (x <> '-') AS total, max(n) FILTER (x <> '-') AS top, sum(n) AS rows, coalesce(max(n) FILTER (x = '-'), 0) AS gaps FROM n GROUP BY 1, 2),
+b AS (SELECT g.*, count(n.x) AS ties, min(n.x) AS best FROM g LEFT JOIN n ON n.p_brand = g.p_brand AND n."column" = g."column" AND n.x <> '-' AND n.n = g.top GROUP BY ALL),
+c AS (SELECT p_brand, "column", CASE WHEN ties = 1 AND top >= 0.5 * total THEN best ELSE 'X' END AS s, gaps > coalesce(top, 0) AND gaps >= 0.5 * rows AS low FROM b)
+SELECT p_brand, CAST("column" AS BIGINT) AS "column", CASE WHEN low THEN lower(s) ELSE s END AS consensus FROM c""")
+def consensus_column(spark, sf_dir):
+    return alignment.column_consensus(_rows(spark, sf_dir), "p_brand")
+
+
+@query(f"""WITH {_ROWS} SELECT p_name, CAST("column" AS BIGINT) AS "column" FROM (SELECT DISTINCT p_name, p_partkey FROM part) JOIN pos USING (p_partkey) GROUP BY 1, 2 HAVING bool_and(x = '-')""")
+def full_gap_columns(spark, sf_dir):
+    names = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return alignment.gap_columns(_rows(spark, sf_dir).join(names, "p_partkey"), "p_name")
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT p_brand, "column", string_agg(x, '' ORDER BY p_partkey) AS pattern FROM pos GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN lag(pattern) OVER (PARTITION BY p_brand ORDER BY "column") = pattern THEN 0 ELSE 1 END AS n FROM c),
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand ORDER BY "column") AS BIGINT) AS island FROM m)
+SELECT p_brand, island, md5(min(pattern)) AS pattern, count(*) AS n FROM r GROUP BY 1, 2""")
+def column_rle(spark, sf_dir):
+    return alignment.column_runs(_rows(spark, sf_dir), "p_brand", "p_partkey").select("p_brand", "island", F.md5("pattern").alias("pattern"), "n")
+
+
+@query("SELECT DISTINCT l_orderkey, l_partkey, 1 AS present FROM lineitem")
+def presence_matrix(spark, sf_dir):
+    return alignment.presence(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
+_GENE = """sx AS (SELECT l_suppkey AS gene, l_partkey AS item, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS idx FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)),
+cn AS (SELECT DISTINCT lag(l_partkey) OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_partkey) AS b, l_partkey AS a FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey FROM lineitem))"""
+
+
+@query(f"""WITH {_GENE}, o AS (SELECT gene, item, idx, left(md5(CAST(item AS VARCHAR)), 5) AS s, lag(item) OVER (PARTITION BY gene ORDER BY idx) AS before FROM sx),
+p AS (SELECT gene, idx, CASE WHEN before IS NOT NULL AND cn.a IS NULL THEN 'XXXXXXXXXX' ELSE '' END || s AS part FROM o LEFT JOIN cn ON cn.b = o.before AND cn.a = o.item),
+q AS (SELECT *, CAST(sum(len(part)) OVER (PARTITION BY gene ORDER BY idx) AS BIGINT) AS stop FROM p)
+SELECT gene, md5(string_agg(part, '' ORDER BY idx)) AS chimeric, md5(string_agg(CAST(stop AS VARCHAR), ',' ORDER BY idx)) AS breaks FROM q GROUP BY 1""")
+def chimeric_rows(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem")
+    x = lines.select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("item")).distinct().withColumn("seq", F.left(F.md5(F.col("item").cast("string")), F.lit(5)))
+    links = ordered.connected_pairs(lines.select("l_orderkey", "l_suppkey", "l_partkey").distinct(), ["l_orderkey", "l_suppkey"], ["l_partkey"], "l_partkey")
+    found = alignment.chimeric(x, links, "gene", "item", "item", "seq")
+    return found.select("gene", F.md5("chimeric").alias("chimeric"), F.md5(F.array_join(F.transform("breaks", lambda b: b.cast("string")), ",")).alias("breaks"))
+
+
+@query()
+def alignment_blocks(spark, sf_dir):
+    """Blocks of the alignments of brands: rows are whole words, segments of eight residues."""
+    rows = _rows(spark, sf_dir).groupBy("p_brand", "aligned").agg(F.min("p_partkey").alias("row"))
+    stops = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (i * 8).cast("long"))
+    return alignment.segments_of(rows.withColumn("breaks", stops), "p_brand", "row")
+
+
+@query("""WITH e AS (SELECT p_partkey, p_name, p_size, md5(p_name) AS m FROM part),
+w AS (SELECT p_partkey, unnest([1, 2, 3]) AS rk, unnest([4, 3, 5]) AS n, CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS strand, p_partkey * 100 AS s, p_partkey * 100 + 39 AS t, p_size % 3 AS ph FROM part),
+c AS (SELECT *, 3 * n - CASE WHEN rk = 1 THEN ph ELSE 0 END AS b FROM w),
+u AS (SELECT *, CAST(sum(b) OVER (PARTITION BY p_partkey ORDER BY rk) AS BIGINT) AS upto FROM c)
+SELECT p_partkey, CAST(rk AS BIGINT) AS rk, CASE WHEN strand = 1 THEN s + upto - b ELSE t - upto + b END AS segment_start,
+CASE WHEN strand = 1 THEN s + CASE WHEN rk = 3 THEN 40 ELSE upto END - 1 ELSE t - CASE WHEN rk = 3 THEN 40 ELSE upto END + 1 END AS segment_end, CAST(CASE WHEN rk = 1 THEN ph ELSE 0 END AS BIGINT) AS segment_start_phase FROM u""")
+def segment_coordinates(spark, sf_dir):
+    x = load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, 1).otherwise(-1).alias("strand"), (F.col("p_partkey") * 100).alias("s"), (F.col("p_partkey") * 100 + 39).alias("t"), (F.col("p_size") % 3).alias("ph"))
+    x = x.withColumn("seg", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("rk"), F.lit(n).alias("n")) for i, n in ((1, 4), (2, 3), (3, 5)))))).select("*", "seg.*")
+    found = alignment.coordinates(x, ["p_partkey"], ["rk"], F.col("n"), "strand", "s", "t", "ph")
+    return found.select("p_partkey", "rk", "segment_start", "segment_end", "segment_start_phase")
+
+
+# clusters
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
+p AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM p UNION SELECT p.b, r.x FROM r JOIN p ON p.a = r.node)
+SELECT node, min(x) AS component FROM r GROUP BY 1""")
+def connected_components(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return components.components(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
+
+
+@query("""WITH RECURSIVE x AS (SELECT DISTINCT o_custkey AS item, CAST(floor(o_totalprice) AS BIGINT) % 20011 AS cl FROM orders WHERE o_orderstatus = 'P'),
+u AS (SELECT * FROM x WHERE cl <> 0), e AS (SELECT DISTINCT a.cl AS a, b.cl AS b FROM u a JOIN u b ON a.item = b.item), r AS (SELECT a AS node, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.node),
+k AS (SELECT node, min(m) AS c FROM r GROUP BY 1) SELECT item, coalesce(c, cl) AS cl FROM x LEFT JOIN k ON node = cl""")
+def merge_clusters(spark, sf_dir):
+    x = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("item"), F.pmod(F.floor("o_totalprice"), F.lit(20011)).alias("cl")).distinct()
+    return components.merge_clusters(x, "item", "cl")
+
+
+def _peptides(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return p.select("p_brand", "p_partkey", S.translate_codons(F.left(S.dna(F.col("p_name")), F.lit(30))).alias("seq"))
+
+
+@query()
+def greedy_cluster(spark, sf_dir):
+    """Greedy clusters of the peptides of each brand; copies meet before any alignment."""
+    return similarity.cluster_families(_peptides(spark, sf_dir), "p_brand", "p_partkey", "seq", 50.0, 30.0)
+
+
+@query()
+def local_align(spark, sf_dir):
+    """Each part's peptide against that of the first part of its brand."""
+    x = _peptides(spark, sf_dir)
+    first = relational.keep_first(x, ["p_brand"], ["p_partkey"]).select("p_brand", F.col("seq").alias("target"))
+    return similarity.align_pairs(x.join(first, "p_brand"), "seq", "target").select("p_partkey", "aligned_a", "aligned_b", F.round("identity", 6).alias("identity"))
+
+
+# exports
+
+
+@query("""SELECT '>' || CAST(p_partkey AS VARCHAR) || chr(10) || regexp_replace(md5(p_name) || md5(p_brand) || md5(p_type), '(.{80})', '\\1' || chr(10)) AS value FROM part""")
+def fasta_export(spark, sf_dir):
+    x = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.md5("p_name"), F.md5("p_brand"), F.md5("p_type")).alias("seq"))
+    return sinks.fasta_lines(x, "id", "seq")
+
+
+@query("""SELECT p_brand, p_brand || ' ' || string_agg(p_name, ' ' ORDER BY p_name) AS value FROM part GROUP BY 1""")
+def transcript_lines(spark, sf_dir):
+    return sinks.transcript_lines(load(spark, sf_dir, "part"), "p_brand", "p_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
