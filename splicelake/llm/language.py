@@ -50,7 +50,8 @@ def grams(raw: np.ndarray) -> list[np.ndarray]:
     for n in ORDERS:
         h = np.full(len(wide), n, np.uint32)
         for k in range(n):
-            h[: len(wide) - k] = h[: len(wide) - k] * np.uint32(0x01000193) ^ wide[k:]
+            m = max(0, len(wide) - k)
+            h[:m] = h[:m] * np.uint32(0x01000193) ^ wide[len(wide) - m :]
         h *= np.uint32(0x9E3779B1)
         found.append((h >> np.uint32(32 - BITS)).astype(np.int32))
     return found
