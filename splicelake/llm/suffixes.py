@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 
 from ._runtime import materialize
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Text bytes of a unit and of the text whose anchors make a block.
-UNIT_BYTES, BLOCK_BYTES = 12 << 20, 4 << 20
+UNIT_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Bucket files of the written units; above, a bucket holds several units.
+MOST_BUCKETS = 1 << 15
 #: Bytes that anchors are computed on at once.
 SLICE = 1 << 19
 
@@ -53,44 +55,61 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     symbols before all suffixes of length up to j: ``bwt``; 0 stands before a
     whole string.  A stable sort of ``bwt`` is the map from a suffix to the one
     that is a symbol longer, and the common prefix of two neighbours there is
-    one more than the least over the range between them here.
+    one more than the least over the range between them here.  Common prefixes
+    of 255 and more count as 255; no more than 255 different bytes may occur.
     """
     m = len(strings)
     sizes = np.array([len(s) for s in strings])
-    flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    present = np.flatnonzero(np.bincount(flat, minlength=256))
+    if len(present) > 255:
+        raise ValueError("more than 255 different bytes")
+    dense = np.zeros(256, np.uint8)
+    dense[present] = np.arange(1, len(present) + 1)
+    flat = dense[flat]
     ends = np.cumsum(sizes)
-    bwt = np.where(sizes > 0, flat[np.maximum(ends - 1, 0)] if len(flat) else 0, 0).astype(np.uint16)
-    lcp = np.zeros(m, np.int16)
-    live, at = np.flatnonzero(sizes > 0), np.flatnonzero(sizes > 0)
+    bwt = np.zeros(m, np.uint8)
+    live = at = np.flatnonzero(sizes > 0)
+    bwt[live] = flat[ends[live] - 1]
+    lcp = np.zeros(m, np.uint8)
     length = 0
     while len(live):
         length += 1
+        n = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        n, zeros = len(bwt), int(np.count_nonzero(bwt == 0))
-        sorted_at = np.empty(n, np.int64)
-        sorted_at[order] = np.arange(n)
-        t = sorted_at[at]
+        starts_of = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=len(present) + 1))))
+        zeros = starts_of[1]
+        # live strings by symbol, then place: the order of their new suffixes
+        symbol = bwt[at]
+        by = np.lexsort((at, symbol))
+        live, at, symbol = live[by], at[by], symbol[by]
+        t = np.empty(len(at), np.int64)
+        cuts = np.searchsorted(symbol, np.arange(1, len(present) + 2))
+        for c in np.flatnonzero(np.diff(cuts)) + 1:
+            low, high = cuts[c - 1], cuts[c]
+            t[low:high] = np.searchsorted(order[starts_of[c] : starts_of[c + 1]], at[low:high]) + starts_of[c]
         to = t - zeros + m
-        touched = np.unique(np.concatenate((t, t + 1)))
-        touched = touched[(touched > zeros) & (touched < n)]
-        touched = touched[bwt[order[touched]] == bwt[order[touched - 1]]]
-        low, high = order[touched - 1] + 1, order[touched] + 1
-        spans = high - low
-        starts = np.cumsum(spans) - spans
-        place = np.repeat(low - starts, spans) + np.arange(int(spans.sum()))
-        least = np.minimum.reduceat(lcp[place], starts) + 1 if len(spans) else spans.astype(np.int16)
-        before = np.where(length < sizes[live], flat[np.maximum(ends[live] - length - 1, 0)], 0)
+        new = np.zeros(n + 1, bool)
+        new[t] = new[t + 1] = True
+        new[n] = False
+        near = np.flatnonzero(new)
+        first = np.zeros(n + 1, bool)
+        first[starts_of] = True
+        head, inner = near[first[near]], near[~first[near]]
+        low = order[inner - 1] + 1
+        spans = order[inner] + 1 - low
+        begins = np.cumsum(spans) - spans
+        place = np.repeat(low - begins, spans) + np.arange(int(spans.sum()))
+        least = np.minimum.reduceat(lcp[place], begins) if len(spans) else np.zeros(0, np.uint8)
+        before = np.where(length < sizes[live], flat[np.maximum(ends[live] - length - 1, 0)], 0).astype(np.uint8)
         old = np.ones(n + len(to), bool)
         old[to] = False
-        new_bwt, new_lcp = np.empty(n + len(to), np.uint16), np.empty(n + len(to), np.int16)
+        new_bwt, new_lcp = np.empty(n + len(to), np.uint8), np.empty(n + len(to), np.uint8)
         new_bwt[old], new_lcp[old] = bwt, lcp
-        new_bwt[to], new_lcp[to] = before, 0
+        new_bwt[to] = before
         # the first of a symbol's suffixes shares nothing with the one before it
-        first = np.concatenate((t, t + 1))
-        first = first[(first >= zeros) & (first < n)]
-        first = first[(first == zeros) | (bwt[order[first]] != bwt[order[first - 1]])]
-        new_lcp[first - zeros + m] = 0
-        new_lcp[touched - zeros + m] = least
+        new_lcp[head - zeros + m] = 0
+        new_lcp[inner - zeros + m] = np.minimum(least, 254) + 1
         bwt, lcp = new_bwt, new_lcp
         more = before > 0
         live, at = live[more], to[more]
@@ -262,7 +281,8 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
     units, blocks = max(1, -(-total // UNIT_BYTES)), max(1, -(-total // BLOCK_BYTES))
     name = f"suffix_units_{uuid.uuid4().hex}"
     keyed = docs.withColumn("__sa_uid", F.monotonically_increasing_id()).withColumn("__sa_unit", F.pmod(F.xxhash64("__sa_uid"), F.lit(units)).cast("int"))
-    keyed.repartition(units, "__sa_unit").write.bucketBy(units, "__sa_unit").format("parquet").saveAsTable(name)
+    buckets = min(units, MOST_BUCKETS)
+    keyed.repartition(buckets, "__sa_unit").write.bucketBy(buckets, "__sa_unit").format("parquet").saveAsTable(name)
     table = spark.table(name)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +337,12 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
             some = [strings[x] for x in mine]
             rows.append((unit, int(b), np.array([len(s) for s in some], np.int32).tobytes(), b"".join(some), h[i].tobytes(), ids[text[i]].tobytes(), uid[text[i]].tobytes(), start[i].tobytes(), n[i].tobytes()))
         for row in _spans_by_unit(np.full(len(again), unit), uid[text[again]], start[again], n[again]):
-            rows.append((unit, -1, b"", b"", b"", b"", *row[1:]))
+            rows.append((unit, -1 - unit, b"", b"", b"", b"", *row[1:]))
         return _batch(_PIECES, rows)
 
     def sort(t: pa.Table) -> pa.Table:
+        if t.column("block")[0].as_py() < 0:  # repeats that a unit has found by itself
+            return t.select(["unit", "uid", "start", "n"])
         size, h, ids, uid, start, n = (_numbers(t, c, kind) for c, kind in (("size", np.int32), ("hash", np.uint64), ("doc_id", np.int64), ("uid", np.int64), ("start", np.int64), ("n", np.int64)))
         unit = np.repeat(t.column("unit").to_numpy(), [len(x) // 8 for x in t.column("uid").to_pylist()])
         data, stops = b"".join(t.column("data").to_pylist()), np.cumsum(size)
@@ -362,9 +384,8 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
 
     answers = table.select("text", "__sa_unit").mapInArrow(anchors, "block int, unit int, hash binary").groupBy("block").applyInArrow(repeated, "unit int, hash binary")
     units_of = table.select("text", F.col("doc_id").cast("long").alias("doc_id"), "__sa_uid", "__sa_unit").groupBy("__sa_unit")
-    found = materialize(units_of.cogroup(answers.groupBy("unit")).applyInArrow(cut, _PIECES), "suffix_pieces")
-    spans = found.where("block >= 0").groupBy("block").applyInArrow(sort, _SPANS).unionByName(found.where("block < 0").select("unit", "uid", "start", "n"))
-    spans = materialize(spans, "suffix_spans")
+    found = units_of.cogroup(answers.groupBy("unit")).applyInArrow(cut, _PIECES)
+    spans = materialize(found.groupBy("block").applyInArrow(sort, _SPANS), "suffix_spans")
     result = materialize(table.groupBy("__sa_unit").cogroup(spans.groupBy("unit")).applyInArrow(digest, schema), "suffix_result")
     spark.sql(f"DROP TABLE {name}")
     return result
