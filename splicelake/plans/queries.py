@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..operators import alignment, components, intervals, ordered, paths, relational, similarity
 from ..sources import sinks
+from ..storage import materialize
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
 
@@ -34,6 +35,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as a written table: graph and path operators read them several times, the joins run once."""
+    return materialize(segments(spark, sf_dir), "segments")
+
+
 _SEG = """
 li AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey
          ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS rk0 FROM lineitem),
@@ -48,7 +54,7 @@ st AS (SELECT family, gene, trx, coalesce(lag(node) OVER (PARTITION BY trx ORDER
 pg AS (SELECT family, src, dst, gene, count(*) AS k, count(DISTINCT trx) AS t FROM st GROUP BY 1, 2, 3, 4),
 ed AS (SELECT pg.family, src, dst, count(*) AS n_genes, CAST(sum(t) AS BIGINT) AS n_trx,
               1e2 * count(*) / max(ng) AS conservation, 1e2 * sum(t) / max(nt) AS transcript_fraction,
-              sum(k * 1e0 / n) / max(ng) AS weighted_conservation
+              CAST(sum((k * 1000000000000) // n) AS DOUBLE) / 1e12 / max(ng) AS weighted_conservation
        FROM pg JOIN gt USING (family, gene) JOIN tot ON tot.family = pg.family GROUP BY 1, 2, 3),
 pa AS (SELECT family, gene, trx, 'start/' || string_agg(node, '/' ORDER BY rk) || '/stop' AS path FROM seg GROUP BY 1, 2, 3),
 sc AS (SELECT st.family, gene, trx,
@@ -100,13 +106,13 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_SEG} SELECT family, src, dst, n_genes, n_trx, round(conservation, 6) AS conservation, round(transcript_fraction, 6) AS transcript_fraction, round(weighted_conservation, 6) AS weighted_conservation FROM ed")
 def splice_graph_edges(spark, sf_dir):
-    return paths.edges(segments(spark, sf_dir)).select("family", "src", "dst", "n_genes", "n_trx", *_r("conservation", "transcript_fraction", "weighted_conservation"))
+    return paths.edges(stored_segments(spark, sf_dir)).select("family", "src", "dst", "n_genes", "n_trx", *_r("conservation", "transcript_fraction", "weighted_conservation"))
 
 
 @query(f"""WITH {_SEG} SELECT family, node, n_genes, n_trx, round(1e2 * n_genes / ng, 6) AS conservation, round(1e2 * n_trx / nt, 6) AS transcript_fraction
 FROM (SELECT family, node, count(DISTINCT gene) AS n_genes, count(DISTINCT trx) AS n_trx FROM seg GROUP BY 1, 2) JOIN tot USING (family)""")
 def splice_graph_nodes(spark, sf_dir):
-    return paths.nodes(segments(spark, sf_dir)).select("family", "node", "n_genes", "n_trx", *_r("conservation", "transcript_fraction"))
+    return paths.nodes(stored_segments(spark, sf_dir)).select("family", "node", "n_genes", "n_trx", *_r("conservation", "transcript_fraction"))
 
 
 _PATH_COLUMNS = [f"{a}_{m}" for m in paths.METRICS for a in ("min", "sum", "mean")]
@@ -114,29 +120,29 @@ _PATH_COLUMNS = [f"{a}_{m}" for m in paths.METRICS for a in ("min", "sum", "mean
 
 @query(f"WITH {_SEG} SELECT family, gene, trx, path, path_genes, {', '.join(f'round({c}, 6) AS {c}' for c in _PATH_COLUMNS)} FROM tb")
 def path_table(spark, sf_dir):
-    return paths.scores(segments(spark, sf_dir)).select("family", "gene", "trx", "path", "path_genes", *_r(*_PATH_COLUMNS))
+    return paths.scores(stored_segments(spark, sf_dir)).select("family", "gene", "trx", "path", "path_genes", *_r(*_PATH_COLUMNS))
 
 
 @query(f"WITH {_SEG} SELECT family, gene, trx, path, path_genes FROM ca")
 def canonical_path(spark, sf_dir):
-    return paths.canonical(paths.scores(segments(spark, sf_dir))).select("family", "gene", "trx", "path", "path_genes")
+    return paths.canonical(paths.scores(stored_segments(spark, sf_dir))).select("family", "gene", "trx", "path", "path_genes")
 
 
 @query(f"WITH {_EVENTS} SELECT * FROM ev")
 def ase_events(spark, sf_dir):
-    s = segments(spark, sf_dir)
+    s = stored_segments(spark, sf_dir)
     return paths.events(paths.path_strings(s), paths.canonical(paths.scores(s)).select("family", "path"))
 
 
 @query(f"WITH {_EVENTS} SELECT family, canonical_path, alternative_path, ase, n_genes, n_trx FROM se")
 def ase_types(spark, sf_dir):
-    return paths.supported_events(segments(spark, sf_dir)).select("family", "canonical_path", "alternative_path", "ase", "n_genes", "n_trx")
+    return paths.supported_events(stored_segments(spark, sf_dir)).select("family", "canonical_path", "alternative_path", "ase", "n_genes", "n_trx")
 
 
 @query(f"WITH {_EVENTS} SELECT family, alternative_path, n_genes, n_trx FROM su")
 def ase_support(spark, sf_dir):
-    s = segments(spark, sf_dir)
-    p = paths.path_strings(s)
+    s = stored_segments(spark, sf_dir)
+    p = materialize(paths.path_strings(s), "paths")
     return paths.support(p, paths.events(p, paths.canonical(paths.scores(s)).select("family", "path")), "alternative_path")
 
 
@@ -151,8 +157,8 @@ vd AS (SELECT tq.family, canonical_path, alternative_path, bool_and(exclusive) A
 SELECT se.family, se.canonical_path, se.alternative_path, ase, CASE WHEN all_ex THEN 'mutually_exclusive' WHEN any_ex THEN 'partially_mutually_exclusive' ELSE '' END AS mutual_exclusivity
 FROM se LEFT JOIN vd ON se.family = vd.family AND se.canonical_path = vd.canonical_path AND se.alternative_path = vd.alternative_path""")
 def mutual_exclusivity(spark, sf_dir):
-    s = segments(spark, sf_dir)
-    return paths.mutual_exclusivity(paths.supported_events(s), paths.path_strings(s)).select("family", "canonical_path", "alternative_path", "ase", "mutual_exclusivity")
+    s = stored_segments(spark, sf_dir)
+    return paths.mutual_exclusivity(materialize(paths.supported_events(s), "events"), materialize(paths.path_strings(s), "paths")).select("family", "canonical_path", "alternative_path", "ase", "mutual_exclusivity")
 
 
 # intervals: parts of a supplier's lines as closed intervals
