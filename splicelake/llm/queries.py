@@ -75,5 +75,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The mixture in SQL: the same hash, strata and order of documents.
+_MIXING_SQL = """
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+       CAST('0x' || substr(md5('20|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY 1),
+wt AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2e0 * source_size AS cap FROM src),
+lv AS (SELECT *, (1.5e0 * (SELECT sum(source_size) FROM src) - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+          / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
+cl AS (SELECT *, bool_and(cap <= level * w) OVER (ORDER BY cap / w, source IS NULL, source ROWS UNBOUNDED PRECEDING) AS clamped FROM lv),
+wa AS (SELECT *, (SELECT arg_min(level, (cap / w, source IS NULL, source)) FROM cl WHERE NOT clamped) AS water FROM cl),
+aim AS (SELECT source, source_size, n, CASE WHEN clamped THEN cap ELSE least(cap, water * w) END AS target FROM wa),
+fr AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM aim),
+x AS (SELECT doc_id, s.source, size, h, source_size, target, whole, CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0e0 END AS fraction,
+      h % greatest(1, CAST(ceil(n / 2000e0) AS BIGINT)) AS stratum FROM sized s JOIN fr ON s.source IS NOT DISTINCT FROM fr.source),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source, stratum ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, fraction * sum(size) OVER (PARTITION BY source, stratum) AS goal FROM x),
+f AS (SELECT *, upto <= goal AS first, goal - coalesce(max(CASE WHEN upto <= goal THEN upto END) OVER (PARTITION BY source, stratum), 0) AS gap FROM r),
+o AS (SELECT *, CASE WHEN NOT first THEN abs(size - gap) END AS off FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY off NULLS LAST, h, doc_id, size) AS near FROM o)
+SELECT doc_id, size, source_size, target, CAST(least(whole + CASE WHEN first OR (near = 1 AND off < abs(gap)) THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken FROM p"""
+
+
+#: Repeats by brute force: every window of 100 bytes, as hex, through md5.
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+mk AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again),
+gr AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mk),
+sp AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM gr GROUP BY 1, 2),
+ed AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM sp UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY 1),
+ke AS (SELECT ed.doc_id, string_agg(substr(x, CAST(2 * f + 1 AS BIGINT), CAST(2 * (t - f) AS BIGINT)), '' ORDER BY f) AS kept FROM ed JOIN d USING (doc_id) GROUP BY 1),
+ct AS (SELECT doc_id, count(*) AS s, sum(b - a) AS r FROM sp GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN ke USING (doc_id) LEFT JOIN ct USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": _MIXING_SQL, "op6_suffix_repeats": _REPEATS_SQL}

@@ -16,8 +16,8 @@ import re
 import numpy as np
 
 END_ID = 1
-#: Entries kept by a task's word table before it starts anew.
-MAX_WORDS = 1_500_000
+#: Entries of a worker's word table; beyond, only the words of the last texts stay.
+MAX_WORDS = 500_000
 
 _HEAD = re.compile(r"[^\W\d_]+(?=[\x21-\x40\x5B-\x60\x7B-\x7E])")
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -94,14 +94,14 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        if len(self.table) > self.max_words:
-            self.table.clear()
         words = [self._words(t) for t in texts]
-        table = self.table
-        if new := [w for w in set().union(*words) if w not in table]:
+        table, seen = self.table, set().union(*words)
+        if new := [w for w in seen if w not in table]:
             self._learn(new)
-        get = self.table.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = [b"".join(map(table.__getitem__, w)) for w in words]
+        if len(table) > self.max_words:
+            self.table = {w: table[w] for w in seen}
+        return out
 
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
