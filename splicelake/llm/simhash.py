@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from ._runtime import materialize, pieces_of
-from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS = 3
@@ -199,14 +199,13 @@ def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int =
         a, b = _forest(own, guests, r)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    # signed order would do for roots; components() only needs one order
     return fps.select("fp").mapInArrow(deal, "shard long, guest boolean, data binary").groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
 def classes_of(printed: DataFrame, r: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """fp, least (its smallest doc_id) and component_id of each distinct fp of (doc_id, fp)."""
     classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, r, bands), "links")
+    roots = components(links(classes, r, bands)).withColumnRenamed("component", "root")
     named = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     return classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component_id", "least").alias("component_id"))

@@ -11,8 +11,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from splicelake.llm import components, html_text, language, licenses, mixing, packing, quality, queries, records, simhash, suffixes, tokens
+from splicelake.llm import html_text, language, licenses, mixing, packing, quality, queries, records, simhash, suffixes, tokens
 from splicelake.llm._runtime import new_path
+from splicelake.operators.components import components
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, sequence_id string, `odd name` int"
@@ -336,7 +337,7 @@ def test_trees_lose_no_pair(spark):
     fps = list(dict.fromkeys([*map(int, base), *near]))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard_rows=60)
-    found = {r.node: r.root for r in components.components(edges).collect()}
+    found = {r.node: r.component for r in components(edges).collect()}
     root = dict(zip(signed, brute_components(fps, signed)))
     groups = collections.defaultdict(set)
     for x in signed:
