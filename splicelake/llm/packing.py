@@ -24,7 +24,7 @@ CAPACITY = 4096
 #: Fillings that a node of the search tries, and nodes that the search opens.
 FILLINGS, NODES = 24, 4_000
 #: Rows that a window over pieces of one length may hold on average.
-ROWS_IN_WINDOW = 200_000
+ROWS_IN_WINDOW = 10_000
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
