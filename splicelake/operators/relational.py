@@ -91,3 +91,23 @@ def first_seen_index(df: DataFrame, key: str, order: Sequence) -> DataFrame:
     """A dense 0-based number for each key by first appearance."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("__at"))
     return firsts.select(key, (F.row_number().over(Window.orderBy("__at", key)) - 1).alias("index"))
+
+
+def order_by_list(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows in the order of a list of values; a value that is not listed is an error."""
+    place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    unknown = F.raise_error(F.concat(F.lit("not in the list: "), F.col(column))).cast("bigint")
+    return df.orderBy(F.when(place > 0, place).otherwise(unknown))
+
+
+def orthologs(df: DataFrame, relationships: Sequence[str], forbidden: Sequence[str] = (), species: Sequence[str] | None = None) -> DataFrame:
+    """Rows (type, species, ...) of the wanted relationships, without forbidden species, of listed ones."""
+    x = df.where(F.col("type").isin(*relationships))
+    if forbidden:
+        x = x.where(~F.col("species").isin(*forbidden))
+    return in_list(x, "species", species)
+
+
+def label_map(df: DataFrame, key: str, value: str, order: Sequence) -> DataFrame:
+    """One value for each key: the last in a total order."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

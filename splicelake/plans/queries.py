@@ -161,6 +161,19 @@ def mutual_exclusivity(spark, sf_dir):
     return paths.mutual_exclusivity(materialize(paths.supported_events(s), "events"), materialize(paths.path_strings(s), "paths")).select("family", "canonical_path", "alternative_path", "ase", "mutual_exclusivity")
 
 
+@query(f"""WITH {_EVENTS},
+hg AS (SELECT DISTINCT x.family, x.sub, gene FROM (SELECT family, canonical_path AS sub FROM se UNION SELECT family, alternative_path FROM se) x
+       JOIN pa ON x.family = pa.family AND contains('/' || path || '/', '/' || sub || '/'))
+SELECT se.family, canonical_path, alternative_path, ase, (SELECT count(*) FROM hg WHERE hg.family = se.family AND hg.sub = se.canonical_path) AS n_canonical,
+(SELECT count(*) FROM hg WHERE hg.family = se.family AND hg.sub = se.alternative_path) AS n_alternative,
+(SELECT count(*) FROM hg a JOIN hg b ON a.gene = b.gene AND a.family = b.family WHERE a.family = se.family AND a.sub = se.canonical_path AND b.sub = se.alternative_path) AS n_common FROM se""")
+def ase_table(spark, sf_dir):
+    s = stored_segments(spark, sf_dir)
+    found = paths.event_genes(materialize(paths.supported_events(s), "events"), materialize(paths.path_strings(s), "paths"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return found.select("family", "canonical_path", "alternative_path", "ase", size("canonical_genes").alias("n_canonical"), size("alternative_genes").alias("n_alternative"), size("common_genes").alias("n_common"))
+
+
 # intervals: parts of a supplier's lines as closed intervals
 
 
