@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from ..functions.sequences import is_species, support_level
 
 TRANSCRIPTS = T.StructType([T.StructField(n, T.StringType()) for n in ("Species", "Name", "TranscriptID", "Source", "ExperimentSource", "Biotype", "Flags", "Version")])
-_TEXT = ("GeneID", "TranscriptID", "ProteinID", "ExonID")
+_TEXT = ("GeneID", "TranscriptID", "ProteinID")
 _LONG = ("ExonRegionStart", "ExonRegionEnd", "ExonRank", "cDNA_CodingStart", "cDNA_CodingEnd", "GenomicCodingStart", "GenomicCodingEnd", "StartPhase", "EndPhase")
-EXONS = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), T.StructField("Strand", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in _LONG)])
+EXONS = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), T.StructField("Strand", T.IntegerType()), T.StructField("ExonID", T.StringType()), *(T.StructField(n, T.LongType()) for n in _LONG)])
 USER_EXONS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("Species", "GeneID", "TranscriptID")]
     + [T.StructField("Strand", T.IntegerType()), T.StructField("ExonID", T.StringType())]
