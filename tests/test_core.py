@@ -1,5 +1,6 @@
 """Operators of the library on small hand-made tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from splicelake.functions import sequences as S
@@ -139,6 +140,16 @@ def test_blocks():
     assert alignment.crossings(m) == 0
 
 
+def test_weak_segments_go_until_nothing_changes():
+    rows = ["MKLVWWWW", "MKLVHHHH", "MKLV----"]
+    owner = np.array([[0] * 4 + [1] * 4, [2] * 4 + [3] * 4, [4] * 4 + [-1] * 4])
+    assert alignment.weak_segments(rows, owner) == {1, 3}
+    apart = ["MKLV----", "----MKLV"]
+    lone = np.array([[0] * 4 + [-1] * 4, [-1] * 4 + [1] * 4])
+    assert alignment.weak_segments(apart, lone) == set()
+    assert alignment.weak_segments(["MK-V-R-T", "-A-----K"], np.array([[0] * 8, [1] * 8])) == {0, 1}
+
+
 def test_chimeric_pads_what_is_not_connected(spark):
     x = spark.createDataFrame([("g", 0, "a", "MK"), ("g", 1, "b", "LV*"), ("g", 2, "c", "AA")], "gene string, i int, item string, seq string")
     links = spark.createDataFrame([("a", "b")], "before string, after string")
