@@ -450,6 +450,17 @@ def impute_missing_ids(spark, sf_dir):
     return x.join(numbers, "p_brand").select("p_partkey", F.concat(F.lit("0_"), (F.col("index") + 1).cast("string")).alias("segment_id"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '0_' || CAST(dense_rank() OVER (ORDER BY f) AS VARCHAR) ELSE p_type END AS segment_id FROM
+(SELECT *, CASE WHEN p_size % 3 = 0 THEN min(p_partkey) OVER (PARTITION BY p_brand, p_size % 3 = 0) END AS f FROM part)""")
+def impute_missing_ids_all(spark, sf_dir):
+    """Every part with its id; the modulo only says which ids are missing."""
+    x = load(spark, sf_dir, "part")
+    missing = F.coalesce(F.col("p_size") % 3 == 0, F.lit(False))
+    numbers = relational.first_seen_index(x.where(missing), "p_brand", ["p_partkey"]).withColumnRenamed("p_brand", "brand")
+    made = F.concat(F.lit("0_"), (F.col("index") + 1).cast("string"))
+    return x.join(numbers, F.col("p_brand").eqNullSafe(F.col("brand")), "left").select("p_partkey", F.when(missing, made).otherwise(F.col("p_type")).alias("segment_id"))
+
+
 @query("""WITH g AS (SELECT l_partkey, l_suppkey, count(*) AS n_hits, max(l_quantity) AS best_coverage, max(l_discount) AS best_identity FROM lineitem GROUP BY 1, 2)
 SELECT l_partkey, l_suppkey, n_hits, best_coverage, best_identity FROM g QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n_hits DESC, best_coverage DESC, best_identity DESC, l_suppkey) = 1""")
 def best_cluster_topk(spark, sf_dir):
@@ -484,6 +495,15 @@ def union_user_rows(spark, sf_dir):
     return both.select("id", F.col("Biotype").alias("biotype"), F.col("Source").alias("source"))
 
 
+@query("""SELECT o_custkey AS id, o_orderpriority AS biotype, CAST(NULL AS VARCHAR) AS source FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P' UNION ALL SELECT o_custkey, 'protein_coding', 'user' FROM orders WHERE o_orderstatus = 'P'""")
+def union_user_rows_all(spark, sf_dir):
+    """Orders of status P are the rows of users, all others the base."""
+    o = load(spark, sf_dir, "orders")
+    user = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    base = o.where("NOT (o_orderstatus <=> 'P')").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("Biotype"))
+    return relational.add_user_rows(base, user).select("id", F.col("Biotype").alias("biotype"), F.col("Source").alias("source"))
+
+
 @query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1 ORDER BY 2 DESC""")
 def counts_most_common(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users")).orderBy(F.desc("n"), "event_type")
@@ -583,6 +603,20 @@ def merge_clusters(spark, sf_dir):
     return components.merge_clusters(x, "item", "cl")
 
 
+@query()
+def connected_components_all(spark, sf_dir):
+    """Customers and prices of all orders."""
+    o = load(spark, sf_dir, "orders")
+    return components.components(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
+
+
+@query()
+def merge_clusters_all(spark, sf_dir):
+    """Clusters of the customers of all orders."""
+    x = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.pmod(F.floor("o_totalprice"), F.lit(20011)).alias("cl")).distinct()
+    return components.merge_clusters(x, "item", "cl")
+
+
 def _peptides(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     return p.select("p_brand", "p_partkey", S.translate_codons(F.left(S.dna(F.col("p_name")), F.lit(30))).alias("seq"))
