@@ -17,6 +17,10 @@ also starts earlier:
 4. The pieces left in a block are sorted column-wise.  Suffixes with common
    prefixes of ``length`` bytes or more are equal windows; all but the first
    of each class are repeats.
+5. Anchors of very many pieces would make one block of any size.  Their windows
+   are dealt one by one, by a 128-bit digest of their bytes, and only the first
+   of each unit, so that a window meets at most as often as there are units;
+   equal digests are equal windows.
 
 Units of a bounded number of text bytes carry steps 1 and 3, blocks of a
 bounded number of anchors steps 2 and 4; both numbers follow the input.
@@ -41,6 +45,8 @@ LENGTH, GRAM = 100, 40
 UNIT_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 #: Bucket files of the written units; above, a bucket holds several units.
 MOST_BUCKETS = 1 << 15
+#: Pieces of one anchor from which its windows are dealt one by one.
+CROWDED = 8192
 #: Bytes that anchors are computed on at once.
 SLICE = 1 << 19
 
@@ -224,6 +230,8 @@ def _runs(uid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 _PIECES = "unit int, block int, size binary, data binary, hash binary, doc_id binary, uid binary, start binary, n binary"
+_ANCHORS = "block int, unit int, hash binary, more binary, number binary"
+_WANTED = "unit int, hash binary, crowded binary"
 _SPANS = "unit int, uid binary, start binary, n binary"
 
 
@@ -268,7 +276,14 @@ def sort_block(strings: list[bytes], anchor: np.ndarray, doc_id: np.ndarray, uid
     return string[again], offset[again]
 
 
-def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False) -> DataFrame:
+def again_by_digest(digest: np.ndarray, doc_id: np.ndarray, uid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The rows whose digest (row, two halves) some earlier window has too."""
+    order = np.lexsort((start, uid, doc_id, digest[:, 1], digest[:, 0]))
+    same = (digest[order[1:]] == digest[order[:-1]]).all(axis=1)
+    return order[1:][same]
+
+
+def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False, crowded: int = CROWDED) -> DataFrame:
     """docs without ``text`` plus n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` also ``text``.
 
     ``text`` is what stays, decoded, without code points cut in part.  A null
@@ -290,25 +305,29 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
             unit = batch.column(1).to_numpy()
             for u in np.unique(unit):
                 raw, begins, ends = _bytes_of(batch.column(0).filter(pa.array(unit == u)))
-                h = np.sort(pieces(raw, begins, ends, length, k)[3])
-                h = h[np.concatenate(([True, True], h[2:] != h[:-2]))[: len(h)]]  # two of a kind say enough
-                block = (h % np.uint64(blocks)).astype(np.int64)
+                values, counts = np.unique(pieces(raw, begins, ends, length, k)[3], return_counts=True)
+                h = np.repeat(values, np.minimum(counts, 2))  # two of a kind say that it repeats
+                more = counts > 2  # the others are counted apart
+                some_h, some_n = values[more], counts[more] - 2
+                block, some_b = (h % np.uint64(blocks)).astype(np.int64), (some_h % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 some, cuts = np.unique(block[order], return_index=True)
-                rows = [(int(b), int(u), part.tobytes()) for b, part in zip(some, np.split(h[order], cuts[1:]))]
+                rows = [(int(b), int(u), part.tobytes(), some_h[some_b == b].tobytes(), some_n[some_b == b].astype(np.int64).tobytes()) for b, part in zip(some, np.split(h[order], cuts[1:]))]
                 if rows:
-                    yield from _batch("block int, unit int, hash binary", rows).to_batches()
+                    yield from _batch(_ANCHORS, rows).to_batches()
 
     def repeated(t: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(x, np.uint64) for x in t.column("hash").to_pylist()]
         values, counts = np.unique(np.concatenate(arrays), return_counts=True)
+        np.add.at(counts, np.searchsorted(values, _numbers(t, "more", np.uint64)), _numbers(t, "number", np.int64))
+        hot = values[counts > crowded]
         values = values[counts > 1]
         rows = []
         for unit, h in zip(t.column("unit").to_pylist(), arrays):
             h = np.intersect1d(h, values)
             if len(h):
-                rows.append((unit, h.tobytes()))
-        return _batch("unit int, hash binary", rows)
+                rows.append((unit, h.tobytes(), np.intersect1d(h, hot).tobytes()))
+        return _batch(_WANTED, rows)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.unique(_numbers(right, "hash", np.uint64))
@@ -327,16 +346,39 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
         for i, (p, q) in enumerate(zip(place.tolist(), (place + n + length - 1).tolist())):
             if first.setdefault(data[p:q], i) != i:
                 again.append(i)
-        keep, strings = np.array(list(first.values()), np.int64), list(first)
-        block = (h[keep] // np.uint64(blocks) % np.uint64(blocks)).astype(np.int64)
         start = place - begins[text]
+        keep, strings = np.array(list(first.values()), np.int64), list(first)
         rows = []
+        # windows of crowded anchors, the first of each in this unit
+        hot = np.isin(h[keep], _numbers(right, "crowded", np.uint64))
+        crowd = keep[hot]
+        piece = np.repeat(crowd, n[crowd])
+        step = np.arange(len(piece)) - np.repeat(np.cumsum(n[crowd]) - n[crowd], n[crowd])
+        earliest: dict[bytes, int] = {}
+        echo = []
+        for i, p in enumerate((place[piece] + step).tolist()):
+            if earliest.setdefault(hashlib.blake2b(data[p : p + length], digest_size=16).digest(), i) != i:
+                echo.append(i)
+        mine = np.array(list(earliest.values()), np.int64)
+        digest = np.frombuffer(b"".join(earliest), np.uint64).reshape(-1, 2)
+        to = (digest[:, 0] % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        some, cuts = np.unique(to[order], return_index=True)
+        for b, part in zip(some.tolist(), np.split(order, cuts[1:]) if len(order) else []):
+            i, at = piece[mine[part]], step[mine[part]]
+            rows.append((unit, blocks + b, b"", digest[part].tobytes(), b"", ids[text[i]].tobytes(), uid[text[i]].tobytes(), (start[i] + at).tobytes(), b""))
+        found_uid, found_start, found_n = uid[text[again]], start[again], n[again]
+        if echo:
+            i = piece[echo]
+            found_uid, found_start, found_n = np.concatenate((found_uid, uid[text[i]])), np.concatenate((found_start, start[i] + step[echo])), np.concatenate((found_n, np.ones(len(echo), np.int64)))
+        keep, strings = keep[~hot], [x for x, y in zip(strings, hot.tolist()) if not y]
+        block = (h[keep] // np.uint64(blocks) % np.uint64(blocks)).astype(np.int64)
         for b in np.unique(block):
             mine = np.flatnonzero(block == b)
             i = keep[mine]
             some = [strings[x] for x in mine]
             rows.append((unit, int(b), np.array([len(s) for s in some], np.int32).tobytes(), b"".join(some), h[i].tobytes(), ids[text[i]].tobytes(), uid[text[i]].tobytes(), start[i].tobytes(), n[i].tobytes()))
-        for row in _spans_by_unit(np.full(len(again), unit), uid[text[again]], start[again], n[again]):
+        for row in _spans_by_unit(np.full(len(found_uid), unit), found_uid, found_start, found_n):
             rows.append((unit, -1 - unit, b"", b"", b"", b"", *row[1:]))
         return _batch(_PIECES, rows)
 
@@ -345,6 +387,9 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
             return t.select(["unit", "uid", "start", "n"])
         size, h, ids, uid, start, n = (_numbers(t, c, kind) for c, kind in (("size", np.int32), ("hash", np.uint64), ("doc_id", np.int64), ("uid", np.int64), ("start", np.int64), ("n", np.int64)))
         unit = np.repeat(t.column("unit").to_numpy(), [len(x) // 8 for x in t.column("uid").to_pylist()])
+        if t.column("block")[0].as_py() >= blocks:  # windows of crowded anchors
+            which = again_by_digest(_numbers(t, "data", np.uint64).reshape(-1, 2), ids, uid, start)
+            return _batch(_SPANS, _spans_by_unit(unit[which], uid[which], start[which], np.ones(len(which), np.int64)))
         data, stops = b"".join(t.column("data").to_pylist()), np.cumsum(size)
         order = np.lexsort((start, uid, ids))
         first, again = {}, []
@@ -382,7 +427,7 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["text string"] * keep_text])
 
-    answers = table.select("text", "__sa_unit").mapInArrow(anchors, "block int, unit int, hash binary").groupBy("block").applyInArrow(repeated, "unit int, hash binary")
+    answers = table.select("text", "__sa_unit").mapInArrow(anchors, _ANCHORS).groupBy("block").applyInArrow(repeated, _WANTED)
     units_of = table.select("text", F.col("doc_id").cast("long").alias("doc_id"), "__sa_uid", "__sa_unit").groupBy("__sa_unit")
     found = units_of.cogroup(answers.groupBy("unit")).applyInArrow(cut, _PIECES)
     spans = materialize(found.groupBy("block").applyInArrow(sort, _SPANS), "suffix_spans")

@@ -386,6 +386,18 @@ def test_suffix_repeats_odd_rows(spark, empty):
     assert sorted(r.n_removed for r in suffixes.mark(same).collect()) == [0, len(shared.encode()), len(shared.encode())]
 
 
+def test_suffix_repeats_crowded_anchors(spark, docs, texts):
+    """Pieces of one anchor that differ all: windows dealt by digest give the same repeats."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(chr(c) for c in rng.choice(np.arange(97, 123), n))
+    shared = noise(330)
+    some = [noise(150) + shared + noise(150) for _ in range(60)] + [noise(120) + shared[:140] + noise(99), shared[30:] * 2, "x" * 400, None]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.mark(make(spark, list(enumerate(some))).select("doc_id", "text"), crowded=20).collect()}
+    assert got == dict(enumerate(brute_repeats(some, 100)))
+    want = dict(zip([i for i, _ in texts], brute_repeats([t for _, t in texts], 100)))
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.mark(docs.select("doc_id", "text"), crowded=1).collect()} == want
+
+
 def test_column_wise_order():
     rng = np.random.default_rng(1)
     for _ in range(30):
