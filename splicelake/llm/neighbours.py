@@ -6,9 +6,13 @@ concatenates ``hashes`` of them.  A query probes, in each table, the cells
 whose axes lie nearest to it, and every vector in a probed cell is reranked by
 its exact inner product.
 
-Vectors are unit length for hashing.  If their lengths differ, the largest
-inner product is made an angle first: candidates get a coordinate more that
-fills them up to the largest length, queries a zero.
+Vectors are unit length for hashing.  If their lengths differ, candidates are
+dealt into bands whose lengths differ by a factor of two at most, and in each
+band the largest inner product is made an angle first: candidates get a
+coordinate more that fills them up to the band's largest length, queries a
+zero.  Queries probe all large bands and are compared with every vector of the
+bands of at most one block.  A query for which fewer than k are found although
+there are more is compared with every vector.
 
 Cells are split into blocks of a bounded number of vectors, and queries go to
 all blocks of a cell, so that a vector that a third of all rows share does not
@@ -26,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import materialize
+
 TABLES, HASHES, PROBES = 16, 1, 12
 NEAREST, QUERY_EVERY = 20, 20
 #: Vectors of a block, and queries whose lists one task merges at once.
@@ -111,67 +117,119 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, table
     usable = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     wanted = wanted.where(usable)
     norm2 = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    sizes = wanted.groupBy(F.size(x).alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.min(norm2).alias("low"), F.max(norm2).alias("high")).orderBy(F.desc("n"), "dim").first()
+    sizes = wanted.groupBy(F.size(x).alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("high")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim, longest = sizes["dim"], float(np.sqrt(sizes["high"]))
-    lift = sizes["high"] > sizes["low"] * 1.0001
     wanted = wanted.where(F.size(x) == dim)
-    model = CrossPolytope(dim + lift, tables, hashes, seed)
-
-    def unit(rows: np.ndarray, query: bool) -> np.ndarray:
-        length = np.linalg.norm(rows, axis=1, keepdims=True)
-        if not lift:
-            return rows / length
-        if query:
-            return np.concatenate((rows / length, np.zeros((len(rows), 1))), axis=1)
-        rows = rows / longest
-        return np.concatenate((rows, np.sqrt(np.maximum(0, 1 - (rows * rows).sum(axis=1, keepdims=True)))), axis=1)
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim)
 
+    def banded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Band, ids, rows and lengths of the rows of a batch, band by band."""
+        ids, rows = read(batch)
+        length = np.linalg.norm(rows, axis=1)
+        band = np.maximum(np.floor(np.log2(longest) - np.log2(length)), 0).astype(np.int64)
+        for b in np.unique(band).tolist():
+            yield b, ids[band == b], rows[band == b], length[band == b]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, ids, _, length in banded(batch):
+                yield pa.RecordBatch.from_pydict({"band": [b], "n": [len(ids)], "low": [length.min()], "high": [length.max()]})
+
+    # as many bands at most as there are powers of two among doubles
+    bands = wanted.mapInArrow(measure, "band long, n long, low double, high double").groupBy("band").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    large = {r["band"]: r["high"] for r in bands if r["n"] > block_rows or len(bands) == 1}
+    lift = len(large) > 1 or any(r["high"] > r["low"] * 1.00005 for r in bands if r["band"] in large)
+    model = CrossPolytope(dim + lift, tables, hashes, seed)
+
+    def unit(rows: np.ndarray, longest: float | None) -> np.ndarray:
+        """Rows as hashed: candidates of a band with its largest length, queries with none."""
+        rows = rows / (np.abs(rows).max(axis=1, keepdims=True) if longest is None or not lift else longest)
+        if longest is None or not lift:
+            rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            return np.pad(rows, ((0, 0), (0, int(lift))))
+        return np.concatenate((rows, np.sqrt(np.maximum(0, 1 - (rows * rows).sum(axis=1, keepdims=True)))), axis=1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = read(batch)
-            u = unit(rows, False)
-            for t in range(tables):
-                cell, n = np.unique(model.cells(u, t), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"table": pa.array(np.full(len(cell), t, np.int32)), "cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
+            for b, ids, rows, _ in banded(batch):
+                if b not in large:
+                    continue
+                u = unit(rows, large[b])
+                for t in range(tables):
+                    cell, n = np.unique(model.cells(u, t), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"table": pa.array(np.full(len(cell), b * tables + t, np.int32)), "cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
 
-    # only cells of more than one block are named, of tables * (2 * size) ** hashes cells at most
+    # only cells of more than one block are named, of tables * (2 * size) ** hashes cells a band at most
     crowded = wanted.mapInArrow(count, "table int, cell long, n long").groupBy("table", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows)
     split = {(r["table"], r["cell"]): -(-r["n"] // block_rows) for r in crowded.collect()}
 
+    kinds = {"table": pa.int32(), "cell": pa.int64(), "block": pa.int64(), "query": pa.bool_(), "ids": pa.binary(), "rows": pa.binary()}
+
+    def packed(groups: list[tuple], ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        """One row for each table, cell and block of groups (table, query, row, cell, block)."""
+        out: list[tuple] = []
+        for t, query, row, c, b in groups:
+            order = np.lexsort((b, c))
+            row, c, b = row[order], c[order], b[order]
+            cuts = np.flatnonzero((np.diff(c) != 0) | (np.diff(b) != 0)) + 1
+            for part, at in zip(np.split(row, cuts), [0, *cuts]):
+                if len(part):
+                    out.append((t, int(c[at]), int(b[at]), query, ids[part].tobytes(), rows[part].tobytes()))
+        columns = list(zip(*out)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], names=list(kinds))
+
+    def mixed(ids: np.ndarray, number: int) -> np.ndarray:
+        return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % number
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, ids, rows, _ in banded(batch):
+                if b not in large:
+                    continue
+                u = unit(rows, large[b])
+                for t in range(b * tables, (b + 1) * tables):
+                    cell = model.cells(u, t % tables)
+                    block = np.zeros(len(ids), np.int64)
+                    for c in np.unique(cell):
+                        if (t, int(c)) in split:
+                            mine = cell == c
+                            block[mine] = mixed(ids[mine], split[t, int(c)])
+                    yield packed([(t, False, np.arange(len(ids)), cell, block)], ids, rows)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = read(batch)
-            asks = np.flatnonzero(ids % every == 0)
-            u, v = unit(rows, False), unit(rows[asks], True)
+            if not len(ids):
+                continue
+            v = unit(rows, None)
             for t in range(tables):
-                out: list[tuple] = []
-                cell = model.cells(u, t)
-                block = np.zeros(len(ids), np.int64)
-                for c in np.unique(cell):
-                    if (t, int(c)) in split:
-                        mine = cell == c
-                        block[mine] = (ids[mine].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % split[t, int(c)]
-                groups = [(False, np.arange(len(ids)), cell, block)]
-                if len(asks):
-                    probe = model.probes(v, t, probes)
-                    who, cells = np.repeat(asks, probe.shape[1]), probe.ravel()
-                    number = np.array([split.get((t, int(c)), 1) for c in cells])
+                probe = model.probes(v, t, probes)
+                who, cells = np.repeat(np.arange(len(ids)), probe.shape[1]), probe.ravel()
+                for b in large:
+                    number = np.array([split.get((b * tables + t, int(c)), 1) for c in cells])
                     first = np.cumsum(number) - number
-                    groups.append((True, np.repeat(who, number), np.repeat(cells, number), np.arange(number.sum()) - np.repeat(first, number)))
-                for query, row, c, b in groups:
-                    order = np.lexsort((b, c))
-                    row, c, b = row[order], c[order], b[order]
-                    cuts = np.flatnonzero((np.diff(c) != 0) | (np.diff(b) != 0)) + 1
-                    for part, at in zip(np.split(row, cuts), [0, *cuts]):
-                        out.append((t, int(c[at]), int(b[at]), query, ids[part].tobytes(), rows[part].tobytes()))
-                columns = list(zip(*out))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["table", "cell", "block", "query", "ids", "rows"])
+                    yield packed([(b * tables + t, True, np.repeat(who, number), np.repeat(cells, number), np.arange(number.sum()) - np.repeat(first, number))], ids, rows)
+
+    def every_pair(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int) -> DataFrame:
+        """Queries and rows so dealt that each query meets each row once, in blocks of both."""
+        chunks, blocks = max(1, -(-n_queries // block_rows)), max(1, -(-n_rows // block_rows))
+
+        def spread(query: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids, some = read(batch)
+                    own = mixed(ids, chunks if query else blocks)
+                    for other in range(blocks if query else chunks):
+                        that = np.full(len(ids), other)
+                        yield packed([(-1, query, np.arange(len(ids)), *((own, that) if query else (that, own)))], ids, some)
+
+            return run
+
+        return queries.mapInArrow(spread(True), dealt).unionByName(rows.mapInArrow(spread(False), dealt))
 
     def rerank(t: pa.Table) -> pa.Table:
         sides = []
@@ -204,8 +262,37 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, table
         top = rank <= k
         return pa.table({"query_id": qid[top], "rank": pa.array(rank[top].astype(np.int32)), "vec_id": ids[top], "score": score[top]})
 
-    asked = wanted.where(F.col("vec_id") % every == 0).count()
-    parts = max(1, -(-asked // MERGE_QUERIES))
-    found = wanted.mapInArrow(deal, "table int, cell long, block long, query boolean, ids binary, rows binary")
-    found = found.groupBy("table", "cell", "block").applyInArrow(rerank, "query_id long, ids binary, scores binary")
-    return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).applyInArrow(merge, schema)
+    dealt = "table int, cell long, block long, query boolean, ids binary, rows binary"
+    queries = wanted.where(F.col("vec_id") % every == 0)
+    asked = queries.count()
+    if not asked:
+        return spark.createDataFrame([], schema)
+
+    def answered(pairs: DataFrame, number: int) -> DataFrame:
+        best = pairs.groupBy("table", "cell", "block").applyInArrow(rerank, "query_id long, ids binary, scores binary")
+        parts = max(1, -(-number // MERGE_QUERIES))
+        return best.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).applyInArrow(merge, schema)
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of bands that are not hashed."""
+        for batch in batches:
+            for b, ids, rows, _ in banded(batch):
+                if b not in large:
+                    yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids), "embedding": pa.array(list(rows), pa.list_(pa.float64()))})
+
+    few = sum(r["n"] for r in bands if r["band"] not in large)
+    pairs = wanted.mapInArrow(deal, dealt).unionByName(queries.mapInArrow(ask, dealt))
+    if few:
+        pairs = pairs.unionByName(every_pair(queries, wanted.mapInArrow(outside, "vec_id long, embedding array<double>"), asked, few))
+    found = materialize(answered(pairs, asked), "neighbours")
+    # queries that found fewer than there are to find
+    total = sum(r["n"] for r in bands)
+    there = total - 1 if total > 2 * k else wanted.select("vec_id").distinct().count() - 1
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, there))
+    short = queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(*wanted.columns)
+    lacking = short.count() if there > 0 else 0
+    if not lacking:
+        return found
+    short = materialize(short, "neighbours_short")
+    again = answered(every_pair(short, wanted, lacking, total), lacking)
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)

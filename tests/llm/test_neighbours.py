@@ -53,6 +53,26 @@ def test_copies_lengths_and_two_hashes(spark):
     assert recall(found(neighbours.search(df, hashes=2, tables=24, probes=160)), want) > 0.8
 
 
+def test_one_long_vector_hides_no_neighbours(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1000
+    df = spark.createDataFrame([(i, v.tolist(), 0, "q", 1) for i, v in enumerate(x)], SCHEMA)
+    want = brute(np.arange(600), x.astype(np.float64), 20, 20)
+    assert recall(found(neighbours.search(df, block_rows=64)), want) > 0.9
+
+
+def test_small_tables_give_all_candidates(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(21, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "q", 1) for i, v in enumerate(x)], SCHEMA)
+    got = found(neighbours.search(df, probes=1, tables=1))
+    assert {q: len(some) for q, some in got.items()} == {0: 20, 20: 20}
+    assert recall(got, brute(np.arange(21), x.astype(np.float64), 20, 20)) == 1
+
+
 def test_odd_vectors(spark):
     good = [float(v) for v in range(1, 9)]
     rows = [(0, good), (1, None), (2, [0.0] * 8), (3, [None] + good[1:]), (4, [float("nan")] + good[1:]), (5, good[:3]), (6, good), (7, [float("inf")] + good[1:]), (None, good), (20, [-v for v in good]), (6, good)]
