@@ -25,7 +25,8 @@ TRAIN_DOCS = 20_000
 #: Bits of an n-gram's hash, and the lengths of n-grams in bytes.
 BITS, ORDERS = 16, (2, 3, 4)
 SMOOTHING = 0.1
-#: Rounds over all languages and over each candidate set; largest set.
+#: Rounds over all languages and over each candidate set; sizes of sets tried
+#: for every text (larger ones as long as the fit rises).
 ROUNDS, SET_ROUNDS, MOST_LANGUAGES = 8, 5, 3
 #: Overlapping n-grams repeat evidence: their log-likelihoods are divided by this.
 TEMPER = 3.0
@@ -64,17 +65,33 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _BYTES[np.frombuffer(b"".join(parts), np.uint8)], stops[:-1]
 
 
+def fair_share(counts: list[int], total: int) -> float:
+    """The largest q for which the sum of min(count, q) is at most total; inf if all counts fit."""
+    left = float(total)
+    for i, n in enumerate(sorted(counts)):
+        q = left / (len(counts) - i)
+        if n > q:
+            return q
+        left -= n
+    return float("inf")
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and log-likelihoods (n-gram hash, language), from docs not held out.
 
-    Counting is distributed; the model has 2**BITS entries for each language and
+    The sample is bounded for each language: small languages are used whole, the
+    others share what is left alike.  A language without a training row is left
+    out.  Counting is distributed; the model has 2**BITS entries for each language and
     order, whatever the corpus.
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
     languages = sorted(r["lang"] for r in known)
-    share = min(1.0, train_docs / max(1, sum(r["count"] for r in known)))
-    picked = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    if not languages:
+        return [], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32)
+    fair = fair_share([r["count"] for r in known], train_docs)
+    limits = F.create_map(*(F.lit(v) for r in known for v in (r["lang"], int(np.ceil(min(1.0, fair / r["count"]) * (1 << 20))))))
+    picked = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < limits[F.col("lang").cast("string")])
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +105,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         o, lang, h = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"o": o.astype(np.int32), "l": lang.astype(np.int32), "h": h.astype(np.int32), "n": total[o, lang, h]})
 
-    if not languages:
-        return [], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32)
     counted = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "o int, l int, h int, n long").groupBy("o", "l", "h").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(ORDERS), 1 << BITS, len(languages)))
     table[counted.o, counted.h, counted.l] = counted.n
+    seen = table.any(axis=(0, 1))
+    languages, table = [x for x, y in zip(languages, seen) if y], table[:, :, seen]
     table += SMOOTHING
     return languages, (np.log(table / table.sum(axis=1, keepdims=True)) / TEMPER).astype(np.float32)
 
@@ -110,6 +127,11 @@ def expect(p: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarr
 
 def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with a letter each: the chosen language, its proportion, all proportions."""
+    return judge(texts, table)[:3]
+
+
+def judge(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``infer`` gives, and the mean log-likelihood of an n-gram under the chosen proportions."""
     raw, at = normal(texts)
     letter = raw != 32
     begins = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
@@ -128,14 +150,26 @@ def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     w = expect(p, doc, starts, np.ones((len(texts), k), np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-w, axis=1, kind="stable"), axis=1, kind="stable")
     best, chosen = np.full(len(texts), -np.inf), w
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
-        allowed = (rank < size).astype(np.float32)
-        v = expect(p, doc, starts, allowed, SET_ROUNDS if size > 1 else 1)
-        fit = np.add.reduceat(np.log(np.maximum((v[doc] * p).sum(axis=1), 1e-30)), starts) - size * np.log(n + 1)
-        better = fit > best + 1e-9
-        best = np.where(better, fit, best)
-        chosen = np.where(better[:, None], v, chosen)
-    return chosen.argmax(axis=1), chosen.max(axis=1), chosen
+    rising = np.ones(len(texts), bool)
+    for size in range(1, k + 1):
+        use = np.arange(len(texts)) if size <= MOST_LANGUAGES else np.flatnonzero(rising)
+        if not len(use):
+            break
+        mine = np.isin(doc, use)
+        q, d = p[mine], np.searchsorted(use, doc[mine])
+        at = np.searchsorted(d, np.arange(len(use)))
+        v = expect(q, d, at, (rank[use] < size).astype(np.float32), SET_ROUNDS if size > 1 else 1)
+        fit = np.add.reduceat(np.log(np.maximum((v[d] * q).sum(axis=1), 1e-30)), at) - size * np.log(n[use] + 1)
+        better = fit > best[use] + 1e-9
+        rising[:] = False
+        rising[use] = better
+        best[use] = np.where(better, fit, best[use])
+        if chosen is w:
+            chosen = w.copy()
+        chosen[use] = np.where(better[:, None], v, chosen[use])
+    mean = np.add.reduceat(np.log(np.maximum((chosen[doc] * p).sum(axis=1), 1e-30)) + top[:, 0], starts) * TEMPER
+    mean /= len(ORDERS) * np.bincount(doc, weights=ends - begins, minlength=len(texts))
+    return chosen.argmax(axis=1), chosen.max(axis=1), chosen, mean
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -170,6 +204,8 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.4, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs, all columns, whose language is determined with at least this share.
 
+    A text whose n-grams are no likelier in its languages than if all were
+    equally frequent is in none of them and goes as well.
     Rows go batch by batch through the model and are never shuffled.
     """
     languages, table = train(docs, train_docs)
@@ -183,7 +219,8 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4, train_docs: int =
                 use = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
                 keep = np.zeros(len(texts), bool)
                 if use:
-                    keep[use] = infer([texts[i] for i in use], model)[1] >= least_score
+                    _, share, _, mean = judge([texts[i] for i in use], model)
+                    keep[use] = (share >= least_score) & (mean > -BITS * np.log(2))
                 yield some.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from splicelake.llm import html_text, language, licenses, mixing, packing, quality, queries, records, simhash, suffixes, tokens
@@ -287,6 +288,34 @@ def test_mixture_finds_both_languages(spark, docs):
 # simhash
 
 
+def invented(rng, letters, words):
+    return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(words))
+
+
+def test_small_languages_are_learned(spark):
+    """A hot language takes no training rows from a small one, and the sample stays bounded."""
+    rng = np.random.default_rng(3)
+    rows = [(i, invented(rng, "abcde", 30), "hot") for i in range(2000)] + [(5000 + i, invented(rng, "vwxyz", 30), "small") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    languages, table = language.train(df, 40)
+    assert languages == ["hot", "small"] and (table.max(axis=1) > table.min(axis=1)).all()
+    got = collections.Counter(r.lang_pred for r in language.identify(df, 40).where("doc_id >= 5000").collect())
+    assert got == {"small": 12}
+    assert language.fair_share([2, 100, 100], 12) == 5 and language.fair_share([3, 4], 7) == float("inf")
+    alien = spark.createDataFrame([(9999, invented(rng, "mnopq", 30), "hot")], df.schema)
+    kept = {r.doc_id for r in language.keep_identified(df.unionByName(alien.withColumn("lang", F.lit(None).cast("string"))), train_docs=40).where("doc_id < 10 or doc_id >= 5000").collect()}
+    assert {i for i, _, _ in rows if i < 10 or i >= 5000} == kept
+
+
+def test_more_than_three_languages_in_one_text(spark):
+    rng = np.random.default_rng(6)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    rows = [(10 * i + j, invented(rng, a, 60), a) for j, a in enumerate(letters) for i in range(40)]
+    _, table = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    _, share, every = language.infer([" ".join(invented(rng, a, 40) for a in letters)], table)
+    assert (every[0] > 0.1).sum() == 5 and share[0] < 0.3
+
+
 def brute_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
