@@ -221,22 +221,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some in pieces_of(batch, "text", 4 << 20):
-                rows: list[list] = [[], [], [], [], []]
-                ids = []
-                for doc_id, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    raw += end
-                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        for column, v in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                            column.append(v)
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                arrays = [pa.array(v, pa.int32() if i == 1 else pa.int64()) for i, v in enumerate(rows)]
+            for some in pieces_of(batch, "text"):
+                ids, stops = tokens.with_end(*encode(some.column(1)), end_id)
+                number = -(-np.diff(stops) // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(len(number)), number)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                start = piece * capacity
+                begin = stops[doc] + start
+                length = np.minimum(stops[doc + 1] - begin, capacity)
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist())]
+                arrays = [some.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
-                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, stops[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -81,24 +81,22 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = to
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(folder)
         encode = tokens.encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         shard, name = context.partitionId(), f"{base}/part-{context.partitionId():06d}"
         own = f"{base}/_attempt-{context.taskAttemptId()}-{context.partitionId():06d}"
         out, entries, at, place = None, [], 0, 0
         for batch in batches:
-            for some in pieces_of(batch, "text", 4 << 20):
-                ids_of = encode(some.column(1).to_pylist())
-                for doc_id, raw in zip(some.column(0).to_pylist(), ids_of):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    data = frame(doc_id, ids)
-                    if out is None:
-                        fs.create_dir(base, recursive=True)
-                        out = fs.open_output_stream(own + ".rec")
+            for some in pieces_of(batch, "text"):
+                ids, stops = tokens.with_end(*encode(some.column(1)), end_id)
+                if out is None:
+                    fs.create_dir(base, recursive=True)
+                    out = fs.open_output_stream(own + ".rec")
+                for doc_id, a, b in zip(some.column(0).to_pylist(), stops.tolist(), stops[1:].tolist()):
+                    data = frame(doc_id, ids[a:b])
                     out.write(data)
-                    entries.append((at, len(data), place, len(ids), doc_id or 0, doc_id is None))
+                    entries.append((at, len(data), place, b - a, doc_id or 0, doc_id is None))
                     at += len(data)
-                    place += len(ids)
+                    place += b - a
         if out is None:
             return
         out.close()

@@ -157,10 +157,40 @@ def test_records_index_and_damage(spark, odd, empty, ids):
     assert records.unframe(memoryview(records.frame(None, np.array([70000, 1], "<u4"))), 0)[:2][0] is None
 
 
+def same_ids(encoder, texts, library):
+    ids, stops = encoder.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[stops[i] : stops[i + 1]].tolist() == library(t)[:-1].tolist(), repr(t)
+
+
 def test_word_encoder_equals_the_library(ids):
-    e = tokens.WordEncoder(PATH, max_words=10)
-    for t in ["it's we'll ab'cd 12a3", "é́ x", "ΣΑΣ ΑΣ İ ẞ", "don't!! foo.,bar", " a b", "<|ENDOFTEXT|> <|endoftext|>a", "中文字 ガ", None, "a_b 1st x2y"]:
-        assert e.encode([t])[0] == ids(t)[:-1].tobytes(), t
+    some = ["it's we'll ab'cd 12a3", "é́ x", "ΣΑΣ ΑΣ İ ẞ", "don't!! foo.,bar", "a b  c", "<|ENDOFTEXT|> <|endoftext|>a", "中文字 ガ", None, "a_b 1st x2y", "", "İ[ İ'll İ? क़, H̱ ̸≠"]
+    same_ids(tokens.WordEncoder(PATH, generation=10), some, ids)
+    for t in some:
+        same_ids(tokens.WordEncoder(PATH), [t], ids)
+
+
+def test_word_encoder_on_random_texts(ids):
+    """100,000 short texts over Latin, Greek, Cyrillic, marks, controls, white space and special tokens."""
+    rng = np.random.default_rng(17)
+    kinds = [range(0x20, 0x7F), range(0x61, 0x7B), range(0xA0, 0x250), range(0x250, 0x3A0), range(0x3A0, 0x530), range(0x300, 0x370), range(0x00, 0x21), range(0x900, 0x980), range(0x1E00, 0x2070), range(0xFB00, 0xFB50), range(0x1F600, 0x1F640)]
+    symbols = [[chr(c) for c in k] for k in kinds] + [["<|endoftext|>", "<|startoftext|>", "<|", "|>", "'ll", "'s", " ", ".", ",", "İ", "ſ"]]
+    encoder = tokens.WordEncoder(PATH, generation=2000)
+    for _ in range(100):
+        batch = []
+        for _ in range(1000):
+            kind = rng.integers(0, len(symbols), rng.integers(1, 4))
+            batch.append("".join(str(rng.choice(symbols[k])) for k in rng.choice(kind, rng.integers(1, 9))))
+        library = encoder.tokenizer.encode_batch(batch, add_special_tokens=False)
+        found, stops = encoder.encode(batch)
+        for i, (t, e) in enumerate(zip(batch, library)):
+            assert found[stops[i] : stops[i + 1]].tolist() == e.ids, repr(t)
+
+
+def test_very_long_texts_are_encoded_in_slices(ids, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 400)
+    texts = ["word, é ß " * 300, None, "x" * 1000 + " y", "short", "中 " * 500]
+    same_ids(tokens.WordEncoder(PATH), texts, ids)
 
 
 # mixing
