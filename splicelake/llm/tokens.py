@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Words of a generation of a worker's table; it holds two generations at most.
-GENERATION = 200_000
+GENERATION = 100_000
 #: Bytes of a text from which it is encoded in slices cut at white space.
 SLICE = 8 << 20
 
@@ -131,12 +131,13 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         found = self._known(words.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(found), self.kind)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        at, number = np.cumsum(size) - size, words.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        at, number = np.cumsum(size, dtype=np.int32) - size, words.indices.to_numpy()
         n = size[number]
-        stops = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(at[number] - stops[:-1], n) + np.arange(stops[-1])]
-        return ids, stops[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        stops = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        place = np.arange(stops[-1], dtype=np.int32)  # SLICE bounds the ids of a call
+        place += np.repeat(at[number] - stops[:-1].astype(np.int32), n)
+        return flat[place], stops[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
     def _sliced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, for batches with very long texts."""
