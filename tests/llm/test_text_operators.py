@@ -281,14 +281,59 @@ def test_licenses(docs, texts, odd, empty):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
 
 
-def test_license_rules_suppress_contained_matches():
-    assert len(licenses.rules()) > 200
-    label = lambda s: licenses.scan_text(s.encode())[5]
-    assert label("Licensed under the GNU General Public License, version 2 or later.") == "gpl,gpl-2.0"
-    assert label("the GNU Lesser General Public License v2.1") == "lgpl-2.1"
-    assert label("SPDX-License-Identifier: BSD-3-Clause") == "bsd-3-clause"
-    assert label("Licensed under the Apache License, Version 2.0") == "apache,apache-2.0"
-    assert label("plain prose about permits") == ""
+LICENSE_CASES = {
+    "Licensed under the GNU General Public License, version 2 or later.": "gpl,gpl-2.0",
+    "the GNU Lesser General Public License v2.1": "lgpl-2.1",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+    "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "SPDX-License-Identifier: LicenseRef-Foo": "unknown",
+    "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+    "see https://www.apache.org/licenses/LICENSE-2.0.html": "apache-2.0",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+    "This is not licensed under the GPL. It is not licensed under the MIT License": "gpl,mit,not-gpl",
+    "All rights reserved.": "all-rights-reserved",
+    "do as you like: the beerware license": "beerware",
+    "plain prose about permits": "",
+    "": "",
+}
+
+
+def test_license_rules():
+    every = licenses.rules()
+    assert len(every) > 300 and [r.priority for r in every] == sorted((r.priority for r in every), reverse=True)
+    for text, labels in LICENSE_CASES.items():
+        found = set(filter(None, licenses.scan_text(text.encode())[5].split(",")))
+        assert set(filter(None, labels.split(","))) - {"gpl", "mit"} <= found and (labels or not found), (text, found)
+    assert licenses.scan_text(b"SPDX-License-Identifier: BSD-3-Clause")[5] == "bsd-3-clause"
+
+
+def test_a_rule_never_matches_without_its_keywords():
+    for text in LICENSE_CASES:
+        spaced = b" " + b" ".join(text.lower().encode().translate(licenses._TABLE).split()) + b" "
+        words = set(spaced.decode().split())
+        for rule in licenses.rules():
+            assert not rule.pattern.search(spaced) or words & set(rule.keywords), (text, rule.label)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_suppression_equals_pairwise_tests(seed):
+    rng = np.random.default_rng(seed)
+    every = licenses.rules()
+    begin = rng.integers(0, 60, 80)
+    found = [(int(b), int(b + n), int(r)) for b, n, r in zip(begin, rng.integers(1, 20, 80), rng.integers(0, len(every), 80))]
+    kept = []
+    for d in sorted(found, key=lambda f: (-every[f[2]].priority, f[0] - f[1], f[2], f[0])):
+        if not any((b <= d[0] and d[1] <= e) or (d[0] <= b and e <= d[1]) for b, e, _ in kept):
+            kept.append(d)
+    assert licenses.suppress(found) == sorted(kept)
+
+
+def test_licenses_of_a_long_text():
+    n = 200_000
+    words, places, first, last, base, labels, score, spans = licenses.scan_text(b"mit license foo " * n)
+    assert (words, places, first, last, base, len(spans)) == (3 * n, n, 0, 3 * n - 3, "mit", n)
+    assert spans[-1] == {"label": "mit", "first_word": 3 * n - 3, "n_words": 2}
 
 
 # language
