@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,12 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Style rules with a simple selector: a tag, a class or an id, or a list of them.
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -41,7 +48,10 @@ def _set(names: str) -> frozenset[str]:
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style xmp iframe noembed noframes")
 RAW_TEXT = _set("title textarea")
-HIDDEN = _set("head title script style template noscript datalist iframe noembed noframes object audio video canvas svg math")
+#: What a reader without scripts and plug-ins never sees.
+HIDDEN = _set("head title script style template datalist iframe noembed noframes audio video canvas annotation annotation-xml metadata desc defs")
+#: The standard's limits of spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Blocks with an empty line around them, and blocks on a line of their own.
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table xmp menu")
 BLOCKS = SPACED | _set("html body div section article aside header footer nav main address li dt dd figcaption form fieldset legend details summary dialog hr center caption thead tbody tfoot tr td th option optgroup hgroup search")
@@ -125,36 +135,59 @@ class Buffer:
         return "".join(self.parts)
 
 
+def _span(value: str, most: int) -> int:
+    return min(max(1, int(value)), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []
+
+    def _grid(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Cells as (first column, column after, lines), beside those that reach down from rows above.
+
+        Only columns where some cell begins are counted.
+        """
+        taken: list[tuple[int, int, int]] = []  # (column, column after, rows still to go), by column
+        rows: list[list[tuple[int, int, list[str]]]] = []
+        for row in self.rows:
+            at, cells, left, below = 0, [], iter(taken), []
+            block = next(left, None)
+            for text, columns, down in row:
+                while block and block[0] <= at:  # places that rows above have taken
+                    at = max(at, block[1])
+                    block = next(left, None)
+                cells.append((at, at + columns, text.split("\n")))
+                if down > 1:
+                    below.append((at, at + columns, down))
+                at += columns
+            rows.append(cells)
+            taken = sorted((a, b, n - 1) for a, b, n in (*taken, *below) if n > 1)
+        first = sorted({a for cells in rows for a, _, _ in cells})
+        return [[(bisect_left(first, a), max(bisect_left(first, b), bisect_left(first, a) + 1), lines) for a, b, lines in cells] for cells in rows]
 
     def render(self) -> str:
         """Rows with cells padded to common column widths; cells of several lines take several lines."""
-        grid, widths = [], []
-        for row in self.rows:
-            at, cells = 0, []
-            for text, span in row:
-                lines = text.split("\n")
-                cells.append((at, span, lines))
-                if span == 1:
-                    widths += [0] * (at + 1 - len(widths))
-                    widths[at] = max(widths[at], *map(len, lines))
-                at += span
-            widths += [0] * (at - len(widths))
-            grid.append(cells)
+        grid = self._grid()
+        widths = [0] * max((b for cells in grid for _, b, _ in cells), default=0)
+        for cells in grid:
+            for a, b, lines in cells:
+                if b == a + 1:
+                    widths[a] = max(widths[a], *map(len, lines))
         for cells in grid:  # what spans columns widens the last of them
-            for at, span, lines in cells:
-                if span > 1:
-                    have = sum(widths[at : at + span]) + 2 * (span - 1)
-                    widths[at + span - 1] += max(0, max(map(len, lines)) - have)
+            for a, b, lines in cells:
+                if b > a + 1:
+                    widths[b - 1] += max(0, max(map(len, lines)) - sum(widths[a:b]) - 2 * (b - a - 1))
+        begins = list(accumulate((w + 2 for w in widths), initial=0))
         out = []
         for cells in grid:
-            for i in range(max((len(c[2]) for c in cells), default=0)):
-                line = ""
-                for at, _, lines in cells:
-                    line = line.ljust(sum(widths[:at]) + 2 * at) + (lines[i] if i < len(lines) else "")
-                out.append(line.rstrip())
+            for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+                line, reach = [], 0
+                for a, _, lines in cells:
+                    if i < len(lines) and lines[i]:
+                        line += [" " * (begins[a] - reach), lines[i]]
+                        reach = max(begins[a], reach) + len(lines[i])
+                out.append("".join(line).rstrip())
         return "\n".join(out)
 
 
@@ -164,16 +197,46 @@ class Renderer:
     def __init__(self) -> None:
         self.buffers = [Buffer()]
         self.hidden = self.pre = 0
+        self.visible = [True]
         self.lists: list[list] = []
         self.tables: list[Table] = []
         self.title: str | None = None
-
-    def open(self, tag: str, attrs: dict[str, str]) -> bool:
-        """Begin an element; whether it hides what it holds."""
-        hides = tag in HIDDEN or "hidden" in attrs or bool(_HIDING.search(attrs.get("style", ""))) or (tag == "dialog" and "open" not in attrs)
+        #: Declarations of simple selectors that hide or show.
+        self.styles: dict[str, str] = {}
+
+    def style(self, sheet: str) -> None:
+        """Take the rules of a style element that hide or show tags, classes or ids."""
+        for selectors, body in _RULE.findall(_COMMENT.sub("", sheet)):
+            if _GONE.search(body) or _VISIBILITY.search(body):
+                for name in selectors.split(","):
+                    if _SIMPLE.fullmatch(name := name.strip()):
+                        key = name if name[0] in ".#" else name.lower()
+                        self.styles[key] = f"{self.styles.get(key, '')};{body}"
+
+    def _declared(self, tag: str, attrs: dict[str, str]) -> str:
+        if not self.styles:
+            return attrs.get("style", "")
+        names = [tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")]
+        return ";".join([*(self.styles[n] for n in names if n in self.styles), attrs.get("style", "")])
+
+    def open(self, tag: str, attrs: dict[str, str]) -> int:
+        """Begin an element: 1 if it is taken out with all it holds, 2 if it sets visibility, else 0.
+
+        What is invisible keeps its place in the layout but not its text, and
+        elements within may be visible again.
+        """
+        declared = self._declared(tag, attrs)
+        hides = tag in HIDDEN or "hidden" in attrs or bool(_GONE.search(declared)) or (tag == "dialog" and "open" not in attrs)
         if self.hidden or hides:
             self.hidden += hides
-            return hides
+            return int(hides)
+        seen = _VISIBILITY.findall(declared)
+        if seen:
+            self.visible.append(seen[-1].lower() == "visible")
+        self._layout(tag, attrs)
+        return 2 * bool(seen)
+
+    def _layout(self, tag: str, attrs: dict[str, str]) -> None:
         buffer = self.buffers[-1]
         if tag == "br":
             buffer.line()
@@ -182,15 +245,16 @@ class Renderer:
             buffer.text("---")
             buffer.block(1)
         elif tag == "img" and attrs.get("alt") and not attrs.get("src"):
-            buffer.text(attrs["alt"])
-        elif tag == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
+            if self.visible[-1]:
+                buffer.text(attrs["alt"])
+        elif tag == "input" and self.visible[-1] and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
             buffer.text(f" {attrs['value']} ")
         elif tag in ("td", "th"):
             if self.tables:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
-                span = attrs.get("colspan", "1")
-                self.tables[-1].rows[-1].append(("", min(int(span), 100) if span.isdigit() and int(span) else 1))
+                down = MOST_ROWS if attrs.get("rowspan", "").strip() == "0" else _span(attrs.get("rowspan", "1"), MOST_ROWS)
+                self.tables[-1].rows[-1].append(("", _span(attrs.get("colspan", "1"), MOST_COLUMNS), down))
                 self.buffers.append(Buffer())
         elif tag == "tr":
             if self.tables:
@@ -222,12 +286,13 @@ class Renderer:
             buffer.block(2 if tag in SPACED else 1)
         if tag in ("pre", "xmp", "textarea"):
             self.pre += 1
-        return False
 
-    def close(self, tag: str, hides: bool) -> None:
+    def close(self, tag: str, kind: int) -> None:
         if self.hidden:
-            self.hidden -= hides
+            self.hidden -= kind == 1
             return
+        if kind == 2:
+            self.visible.pop()
         buffer = self.buffers[-1]
         if tag in ("pre", "xmp", "textarea"):
             self.pre -= 1
@@ -235,7 +300,7 @@ class Renderer:
             if self.tables:
                 self.buffers.pop()
                 row = self.tables[-1].rows[-1]
-                row[-1] = (buffer.value(), row[-1][1])
+                row[-1] = (buffer.value(), *row[-1][1:])
         elif tag == "table":
             text = self.tables.pop().render()
             if text.strip():
@@ -255,7 +320,7 @@ class Renderer:
             buffer.block(2 if tag in SPACED else 1)
 
     def text(self, text: str) -> None:
-        if self.hidden:
+        if self.hidden or not self.visible[-1]:
             return
         if self.pre:
             self.buffers[-1].kept(text)
@@ -266,34 +331,41 @@ class Renderer:
 
 
 class Builder:
-    """The stack of open elements."""
+    """The stack of open elements, and where on it each name lies: searches never walk the stack."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
         self.renderer = Renderer()
 
     def _pop(self) -> None:
-        self.renderer.close(*self.stack.pop())
+        tag, kind = self.stack.pop()
+        self.places[tag].pop()
+        self.renderer.close(tag, kind)
 
     def _pop_to(self, at: int) -> None:
         while len(self.stack) > at:
             self._pop()
 
+    def _last(self, names: frozenset[str]) -> int:
+        """The innermost open element of these names; -1 if none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def _find(self, names: frozenset[str], stop: frozenset[str]) -> int:
         """The outermost open element of these names above the nearest stop; -1 if none."""
-        found = -1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                found = i
-            elif self.stack[i][0] in stop:
-                break
-        return found
+        limit, found = self._last(stop - names), []
+        for n in names:
+            some = self.places.get(n)
+            if some and some[-1] > limit:
+                found.append(some[bisect_right(some, limit)])
+        return min(found, default=-1)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, self.renderer.open(tag, attrs)))
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if self.stack and self.stack[-1][0] == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
             self._pop()  # the body begins
@@ -318,12 +390,10 @@ class Builder:
         if tag in ("html", "body"):
             return
         stop = _set("table") if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else frozenset() if tag == "table" else SCOPE
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop_to(i)
-                return
-            if self.stack[i][0] in stop:
-                break
+        at = self._last(frozenset((tag,)))
+        if at >= 0 and at > self._last(stop - {tag}):
+            self._pop_to(at)
+            return
         if tag == "p":  # an end tag alone stands for an empty paragraph
             self.start("p", {})
             self._pop()
@@ -367,6 +437,8 @@ def extract(source: str | None) -> tuple[str, str]:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
                 text = source[at : stop.start()]
                 text = html.unescape(text) if tag in RAW_TEXT else text
+                if tag == "style":
+                    builder.renderer.style(text)
                 if tag == "title" and not title:
                     title = _SPACE.sub(" ", text).strip()
                 builder.text(text)
@@ -382,7 +454,10 @@ def render(pages: DataFrame) -> DataFrame:
 
     A null page is an empty one: empty title and text.  Repeated rows are
     rendered each alone; markup that never closes is closed at the end; an
-    empty table gives no rows.
+    empty table gives no rows.  Scripts do not run, so that ``noscript`` and the
+    content of ``object`` show; style elements hide what comes after them, by
+    tag, class or id.  Time grows with the length of a page, however deep its
+    elements lie; nested tables are laid out once a level.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

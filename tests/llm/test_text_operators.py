@@ -532,5 +532,55 @@ def test_html_layout(spark):
     assert html_text.render(df.limit(0)).count() == 0
 
 
+HTML_CASES = [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td>a<td rowspan=0>B<tr><td>c<tr><td>d<td>e</table>", "a  B\nc\nd     e"),
+    ("<table><tr><td colspan=1000>wide<td>z<tr><td>q</table>", "wide  z\nq"),
+    ("<table><tr><td colspan=2>long title<tr><td>a<td>b</table>", "long title\na  b"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x", "x"),
+    ("<style>/* .y{} */ .x, h5{display:none} p.q{display:none}</style><p class='a x'>no<p class=q>q<h5>no</h5>", "q"),
+    ("<noscript>plain</noscript><math><mi>x</mi></math><object>text</object><svg><desc>no</desc><text>t</text></svg>", "plainxtextt"),
+    ("<p>a<div>b</p>c", "a\n\nb\n\nc"),
+    ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
+    ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
+    ("<select><option>a<option>b</select>", "a\nb"),
+    ("a<br><br>b<hr>c", "a\n\nb\n---\nc"),
+    ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"),
+]
+
+
+@pytest.mark.parametrize("page, text", HTML_CASES)
+def test_html_cases(page, text):
+    assert html_text.extract(page)[1] == text
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_table_places_equal_an_occupancy_grid(seed):
+    rng = np.random.default_rng(seed)
+    table = html_text.Table()
+    table.rows = [[(f"{y}-{i}", int(rng.integers(1, 4)), int(rng.integers(1, 4))) for i in range(rng.integers(0, 5))] for y in range(6)]
+    taken, place = set(), {}
+    for y, row in enumerate(table.rows):
+        x = 0
+        for text, columns, down in row:
+            while (x, y) in taken:
+                x += 1
+            place[text] = (x, x + columns)
+            taken |= {(a, b) for a in range(x, x + columns) for b in range(y, y + down)}
+            x += columns
+    first = sorted({a for a, _ in place.values()})
+    for cells in table._grid():
+        for a, b, (text,) in cells:
+            x, after = place[text]
+            assert first[a] == x and b == max(a + 1, sum(f < after for f in first))
+
+
+def test_html_of_a_long_deep_page():
+    page = "<ul>" + "<li>item <b>bold</b> &amp; more</li>" * 100_000 + "</ul>" + "<p><table><tr><td>" + "<div>" * 20_000 + "x"
+    text = html_text.extract(page)[1]
+    assert text.count("- item bold & more") == 100_000 and text.endswith("\n\nx")
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
