@@ -6,18 +6,24 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_folder
 
-__all__ = ["load", "materialize", "new_path", "pieces_of", "shared_folder", "word_count"]
+__all__ = ["load", "materialize", "new_path", "open_fs", "pieces_of", "shared_folder", "word_count"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_fs(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder, and the folder's path on it."""
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

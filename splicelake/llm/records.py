@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._runtime import new_path, pieces_of
+from ._runtime import new_path, open_fs, pieces_of
 
 #: Bytes of text a shard aims at; the number of shards follows the input.
 SHARD_TEXT_BYTES = 32 << 20
@@ -63,10 +62,6 @@ def unframe(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if payload[0] & NULL_ID else int.from_bytes(payload[1:9], "little", signed=True), ids, at + 16 + n
 
 
-def _open_fs(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = tokens.END_ID, shard_bytes: int = SHARD_TEXT_BYTES) -> DataFrame:
     """Write docs (doc_id, text) to ``folder``; return its manifest.
 
@@ -79,7 +74,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = to
     shards = max(1, -(-total // shard_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open_fs(folder)
+        fs, base = open_fs(folder)
         encode = tokens.encoder(tokenizer).encode
         context = TaskContext.get()
         shard, name = context.partitionId(), f"{base}/part-{context.partitionId():06d}"

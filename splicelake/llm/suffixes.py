@@ -2,7 +2,9 @@
 
 ``column_wise`` builds the Burrows-Wheeler transform and the common prefixes of
 a collection the column-wise way: every round prepends one symbol to every
-string, and the place of the new suffix follows from the transform so far.
+string, the place of the new suffix follows from the transform so far, and the
+transform and the common prefixes are read once and written anew, as sequential
+files where a block is large.
 
 ``mark`` finds, over a corpus, what lies under a string of ``length`` bytes that
 also starts earlier:
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialize
+from ._runtime import materialize, new_path, open_fs
 
 LENGTH, GRAM = 100, 40
 #: Text bytes of a unit and of the text whose anchors make a block.
@@ -49,80 +51,117 @@ MOST_BUCKETS = 1 << 15
 CROWDED = 8192
 #: Bytes that anchors are computed on at once.
 SLICE = 1 << 19
+#: Bytes of a block's distinct pieces beyond which a round's arrays are files, and entries read at once.
+SORT_BYTES, CHUNK = 64 << 20, 1 << 20
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Columns:
+    """Arrays of equal length that a round reads once from front to back and writes anew.
+
+    Without a folder they stay in memory as one stretch; with one they are
+    sequential files of the shared file system, one an array and round, read
+    and written in stretches of ``CHUNK``.
+    """
+
+    def __init__(self, kinds: list[type], folder: str | None):
+        self.kinds, self.folder, self.round = [np.dtype(k) for k in kinds], folder, 0
+        self.held: list[np.ndarray] = [np.zeros(0, k) for k in self.kinds]
+        if folder:
+            self.fs, self.base = open_fs(folder)
+            self.fs.create_dir(self.base, recursive=True)
+
+    def _name(self, turn: int, i: int) -> str:
+        return f"{self.base}/{i}-{turn % 2}"
+
+    def write(self, stretches: Iterator[list[np.ndarray]]) -> None:
+        if not self.folder:
+            self.held = [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*stretches)]
+            return
+        out = [self.fs.open_output_stream(self._name(self.round + 1, i)) for i in range(len(self.kinds))]
+        for arrays in stretches:
+            for f, x in zip(out, arrays):
+                f.write(np.ascontiguousarray(x).tobytes())
+        for f in out:
+            f.close()
+        self.round += 1
+
+    def read(self, which: int | None = None) -> Iterator[list[np.ndarray]]:
+        """Stretches of the arrays (of the first ``which``)."""
+        kinds = self.kinds[:which]
+        if not self.folder:
+            yield self.held[:which]
+            return
+        files = [self.fs.open_input_stream(self._name(self.round, i)) for i in range(len(kinds))]
+        while True:
+            some = [np.frombuffer(f.read(CHUNK * k.itemsize), k) for f, k in zip(files, kinds)]
+            if not len(some[0]):
+                break
+            yield some
+        for f in files:
+            f.close()
+
+    def drop(self) -> None:
+        if self.folder:
+            self.fs.delete_dir(self.base)
+
+
+def column_wise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, suffix length and common prefix with the suffix before, in suffix order.
 
     Empty suffixes come first, in the order of strings.  Round j holds the
-    symbols before all suffixes of length up to j: ``bwt``; 0 stands before a
-    whole string.  A stable sort of ``bwt`` is the map from a suffix to the one
-    that is a symbol longer, and the common prefix of two neighbours there is
-    one more than the least over the range between them here.  Common prefixes
-    of 255 and more count as 255; no more than 255 different bytes may occur.
+    symbols before all suffixes of length up to j, ``bwt``, and the common
+    prefixes of neighbours, ``lcp``; 0 stands before a whole string.  A round
+    reads both once to find the place of each string's next suffix, by the
+    number of equal symbols before it, and the least common prefix since the
+    last equal symbol, which is one less than the new one; it then merges the
+    new entries in and writes both anew.  With a ``folder`` they lie there in
+    sequential files, together with the name of each suffix, and only what
+    belongs to the strings' current ends is held.  Common prefixes of 255 and
+    more count as 255; no more than 255 different bytes may occur.
     """
     m = len(strings)
-    sizes = np.array([len(s) for s in strings])
+    sizes = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
     present = np.flatnonzero(np.bincount(flat, minlength=256))
     if len(present) > 255:
         raise ValueError("more than 255 different bytes")
+    kinds = len(present) + 1
     dense = np.zeros(256, np.uint8)
-    dense[present] = np.arange(1, len(present) + 1)
+    dense[present] = np.arange(1, kinds)
     flat = dense[flat]
     ends = np.cumsum(sizes)
-    bwt = np.zeros(m, np.uint8)
-    live = at = np.flatnonzero(sizes > 0)
-    bwt[live] = flat[ends[live] - 1]
-    lcp = np.zeros(m, np.uint8)
+    at = live = np.flatnonzero(sizes > 0)
+    first = np.zeros(m, np.uint8)
+    first[live] = flat[ends[live] - 1]
+    columns = Columns([np.uint8, np.uint8, *[np.int64] * bool(folder)], folder)
+    columns.write(iter([[first, np.zeros(m, np.uint8), np.arange(m) << 32][: len(columns.kinds)]]))
+    counts = np.bincount(first, minlength=kinds)
     length = 0
     while len(live):
         length += 1
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        starts_of = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=len(present) + 1))))
-        zeros = starts_of[1]
-        # live strings by symbol, then place: the order of their new suffixes
-        symbol = bwt[at]
-        by = np.lexsort((at, symbol))
-        live, at, symbol = live[by], at[by], symbol[by]
-        t = np.empty(len(at), np.int64)
-        cuts = np.searchsorted(symbol, np.arange(1, len(present) + 2))
-        for c in np.flatnonzero(np.diff(cuts)) + 1:
-            low, high = cuts[c - 1], cuts[c]
-            t[low:high] = np.searchsorted(order[starts_of[c] : starts_of[c + 1]], at[low:high]) + starts_of[c]
-        to = t - zeros + m
-        new = np.zeros(n + 1, bool)
-        new[t] = new[t + 1] = True
-        new[n] = False
-        near = np.flatnonzero(new)
-        first = np.zeros(n + 1, bool)
-        first[starts_of] = True
-        head, inner = near[first[near]], near[~first[near]]
-        low = order[inner - 1] + 1
-        spans = order[inner] + 1 - low
-        begins = np.cumsum(spans) - spans
-        place = np.repeat(low - begins, spans) + np.arange(int(spans.sum()))
-        least = np.minimum.reduceat(lcp[place], begins) if len(spans) else np.zeros(0, np.uint8)
+        starts = np.cumsum(counts) - counts
+        to, value_at, values = _places(columns, at, starts, kinds)
+        shift = m - int(counts[0])
         before = np.where(length < sizes[live], flat[np.maximum(ends[live] - length - 1, 0)], 0).astype(np.uint8)
-        old = np.ones(n + len(to), bool)
-        old[to] = False
-        new_bwt, new_lcp = np.empty(n + len(to), np.uint8), np.empty(n + len(to), np.uint8)
-        new_bwt[old], new_lcp[old] = bwt, lcp
-        new_bwt[to] = before
-        # the first of a symbol's suffixes shares nothing with the one before it
-        new_lcp[head - zeros + m] = 0
-        new_lcp[inner - zeros + m] = np.minimum(least, 254) + 1
-        bwt, lcp = new_bwt, new_lcp
+        order = np.argsort(to)
+        to, live, before = to[order] + shift, live[order], before[order]
+        by = np.argsort(value_at)
+        names = [(live << 32) + length][: len(columns.kinds) - 2]
+        columns.write(_merged(columns, to, [before, np.zeros(len(to), np.uint8), *names], value_at[by] + shift, values[by], int(counts.sum())))
+        counts += np.bincount(before, minlength=kinds)
         more = before > 0
         live, at = live[more], to[more]
+    found = [np.concatenate(x) for x in zip(*columns.read())]
+    columns.drop()
+    if folder:
+        return (found[2] >> 32).astype(np.int32), (found[2] & 0xFFFFFFFF).astype(np.int32), found[1]
+    bwt, lcp = found
     # walk the finished transform to name each suffix
-    zeros = int(np.count_nonzero(bwt == 0))
     onward = np.empty(len(bwt), np.int64)
-    onward[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - zeros + m
+    onward[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - int(counts[0]) + m
     string, suffix = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
     at, live = np.arange(m), np.arange(m)
     string[at] = live
@@ -133,6 +172,87 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return string, suffix, lcp
 
 
+def _places(columns: Columns, at: np.ndarray, starts: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One reading of a round: the rank of the symbol at each place of ``at`` (ascending) among all
+    symbols by symbol, then place; and new common prefixes, as (rank, value), of those ranks and the next ones.
+    """
+    seen, base = np.zeros(kinds, np.int64), 0
+    running = np.full(kinds, 255, np.uint8)  # least common prefix since the last of a symbol
+    pending = np.zeros(kinds, bool)  # whether that last one is of a live string
+    ranks, near_ranks, near_values = [], [], []
+    for bwt, lcp in columns.read(2):
+        n = len(bwt)
+        order = np.argsort(bwt, kind="stable")
+        count = np.bincount(bwt, minlength=kinds)
+        begin = np.cumsum(count) - count
+        back = starts + seen - begin  # from a place in ``order`` to a rank
+        mine = at[np.searchsorted(at, base) : np.searchsorted(at, base + n)] - base
+        symbol = bwt[mine]
+        j = np.empty(len(mine), np.int64)
+        by = np.argsort(symbol, kind="stable")
+        cuts = np.searchsorted(symbol[by], np.arange(kinds + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            some = by[cuts[c] : cuts[c + 1]]
+            j[some] = np.searchsorted(order[begin[c] : begin[c] + count[c]], mine[some]) + begin[c]
+        ranks.append(j + back[symbol])
+        new = np.zeros(n + 1, bool)
+        new[j] = new[j + 1] = True
+        new[begin[count > 0]] = False
+        new[n] = False
+        inner = np.flatnonzero(new)  # not the first of their symbol in this stretch
+        low = order[inner - 1] + 1
+        spans = order[inner] + 1 - low
+        offset = np.cumsum(spans) - spans
+        place = np.repeat(low - offset, spans) + np.arange(int(spans.sum()))
+        near_ranks.append(inner + back[bwt[order[inner]]])
+        near_values.append(np.minimum(np.minimum.reduceat(lcp[place], offset) if len(spans) else np.zeros(0, np.uint8), 254) + 1)
+        if not columns.folder:  # one stretch: the first of a symbol shares nothing with what is before it
+            head_ranks = j[j == begin[symbol]] + back[symbol[j == begin[symbol]]]
+            return ranks[0], np.concatenate((near_ranks[0], head_ranks)), np.concatenate((near_values[0], np.zeros(len(head_ranks), np.uint8)))
+        # the first of each symbol in this stretch looks back over the stretches before
+        is_live = np.zeros(n, bool)
+        is_live[mine] = True
+        upto = np.minimum.accumulate(lcp)
+        since = np.minimum.accumulate(lcp[::-1])[::-1]
+        here = np.flatnonzero(count)
+        head, tail = order[begin[here]], order[begin[here] + count[here] - 1]
+        known = seen[here] > 0
+        wanted = is_live[head] | (pending[here] & known)
+        value = np.where(known, np.minimum(np.minimum(running[here], upto[head]), 254) + 1, 0)
+        near_ranks.append((begin + back)[here][wanted])
+        near_values.append(value[wanted].astype(np.uint8))
+        least = upto[-1] if n else 255
+        running = np.minimum(running, least)
+        running[here] = np.where(tail + 1 < n, since[np.minimum(tail + 1, n - 1)], 255)
+        pending[here] = is_live[tail]
+        seen += count
+        base += n
+    return np.concatenate(ranks), np.concatenate(near_ranks), np.concatenate(near_values)
+
+
+def _merged(columns: Columns, to: np.ndarray, fresh: list[np.ndarray], value_at: np.ndarray, values: np.ndarray, n: int) -> Iterator[list[np.ndarray]]:
+    """The arrays of a round with new entries at the places ``to`` and new common prefixes, stretch by stretch."""
+    gap = to - np.arange(len(to))  # old entries before each new one
+    base = 0
+    for arrays in columns.read():
+        size = len(arrays[0])
+        a = np.searchsorted(gap, base)
+        b = np.searchsorted(gap, base + size) if base + size < n else len(to)
+        begin = base + a
+        place = to[a:b] - begin
+        old = np.ones(size + b - a, bool)
+        old[place] = False
+        out = []
+        for x, y in zip(arrays, fresh):
+            z = np.empty(len(old), x.dtype)
+            z[old], z[place] = x, y[a:b]
+            out.append(z)
+        low, high = np.searchsorted(value_at, [begin, begin + len(old)])
+        out[1][value_at[low:high] - begin] = values[low:high]
+        yield out
+        base += size
+
+
 def gram_hashes(raw: np.ndarray, k: int = GRAM) -> np.ndarray:
     """64-bit hashes of the k-grams that begin at each byte."""
 
@@ -250,7 +370,7 @@ def _spans_by_unit(unit: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.n
     return rows
 
 
-def sort_block(strings: list[bytes], anchor: np.ndarray, doc_id: np.ndarray, uid: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def sort_block(strings: list[bytes], anchor: np.ndarray, doc_id: np.ndarray, uid: np.ndarray, start: np.ndarray, length: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows that also start earlier in some other string.
 
     Strings differ from each other.  One whose anchor no other has holds no
@@ -261,7 +381,7 @@ def sort_block(strings: list[bytes], anchor: np.ndarray, doc_id: np.ndarray, uid
     none = np.zeros(0, np.int64)
     if not len(use):
         return none, none
-    string, suffix, lcp = column_wise([strings[i] for i in use])
+    string, suffix, lcp = column_wise([strings[i] for i in use], folder)
     klass = np.cumsum(lcp < length)
     long = suffix >= length
     string, suffix, klass = use[string[long]], suffix[long].astype(np.int64), klass[long]
@@ -283,7 +403,7 @@ def again_by_digest(digest: np.ndarray, doc_id: np.ndarray, uid: np.ndarray, sta
     return order[1:][same]
 
 
-def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False, crowded: int = CROWDED) -> DataFrame:
+def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False, crowded: int = CROWDED, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """docs without ``text`` plus n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` also ``text``.
 
     ``text`` is what stays, decoded, without code points cut in part.  A null
@@ -294,7 +414,7 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, blocks = max(1, -(-total // UNIT_BYTES)), max(1, -(-total // BLOCK_BYTES))
-    name = f"suffix_units_{uuid.uuid4().hex}"
+    name, scratch = f"suffix_units_{uuid.uuid4().hex}", new_path(spark, "suffix_sort")
     keyed = docs.withColumn("__sa_uid", F.monotonically_increasing_id()).withColumn("__sa_unit", F.pmod(F.xxhash64("__sa_uid"), F.lit(units)).cast("int"))
     buckets = min(units, MOST_BUCKETS)
     keyed.repartition(buckets, "__sa_unit").write.bucketBy(buckets, "__sa_unit").format("parquet").saveAsTable(name)
@@ -397,7 +517,9 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
             if first.setdefault(data[stops[i] - size[i] : stops[i]], i) != i:
                 again.append(i)
         keep = np.array(list(first.values()), np.int64)
-        string, offset = sort_block(list(first), h[keep], ids[keep], uid[keep], start[keep], length)
+        large = sum(map(len, first)) > sort_bytes
+        own = f"{scratch}/{t.column('block')[0].as_py()}-{uuid.uuid4().hex}" if large else None  # another attempt has another
+        string, offset = sort_block(list(first), h[keep], ids[keep], uid[keep], start[keep], length, own)
         which = keep[string]
         return _batch(_SPANS, _spans_by_unit(np.concatenate((unit[again], unit[which])), np.concatenate((uid[again], uid[which])), np.concatenate((start[again], start[which] + offset)), np.concatenate((n[again], np.ones(len(which), np.int64)))))
 
@@ -430,7 +552,8 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
     answers = table.select("text", "__sa_unit").mapInArrow(anchors, _ANCHORS).groupBy("block").applyInArrow(repeated, _WANTED)
     units_of = table.select("text", F.col("doc_id").cast("long").alias("doc_id"), "__sa_uid", "__sa_unit").groupBy("__sa_unit")
     found = units_of.cogroup(answers.groupBy("unit")).applyInArrow(cut, _PIECES)
-    spans = materialize(found.groupBy("block").applyInArrow(sort, _SPANS), "suffix_spans")
-    result = materialize(table.groupBy("__sa_unit").cogroup(spans.groupBy("unit")).applyInArrow(digest, schema), "suffix_result")
-    spark.sql(f"DROP TABLE {name}")
-    return result
+    try:
+        spans = materialize(found.groupBy("block").applyInArrow(sort, _SPANS), "suffix_spans")
+        return materialize(table.groupBy("__sa_unit").cogroup(spans.groupBy("unit")).applyInArrow(digest, schema), "suffix_result")
+    finally:
+        spark.sql(f"DROP TABLE {name}")

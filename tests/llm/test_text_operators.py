@@ -142,7 +142,7 @@ def test_records_index_and_damage(spark, odd, empty, ids):
     assert len(index) == len(ODD) == len(back)
     import pyarrow.fs as pafs
 
-    fs, base = records._open_fs(folder)
+    fs, base = records.open_fs(folder)
     for r in index:
         data = fs.open_input_file(f"{base}/part-{r.shard:06d}.rec").read()
         i, got, after = records.unframe(memoryview(data), r.frame_offset)
@@ -502,15 +502,38 @@ def test_suffix_repeats_crowded_anchors(spark, docs, texts):
     assert {r.doc_id: tuple(r)[1:] for r in suffixes.mark(docs.select("doc_id", "text"), crowded=1).collect()} == want
 
 
-def test_column_wise_order():
+@pytest.mark.parametrize("stretch", [None, 1, 3, 50])
+def test_column_wise_order(tmp_path, monkeypatch, stretch):
+    """In memory, and in sequential files read in stretches of a few entries."""
+    if stretch:
+        monkeypatch.setattr(suffixes, "CHUNK", stretch)
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for turn in range(30 if not stretch else 12):
         strings = [bytes(rng.choice([0, 97, 98], int(n)).astype(np.uint8)) for n in rng.integers(0, 12, int(rng.integers(1, 9)))]
-        string, suffix, lcp = suffixes.column_wise(strings)
+        strings += strings[:2]  # equal strings
+        string, suffix, lcp = suffixes.column_wise(strings, f"{tmp_path}/{turn}" if stretch else None)
         got = [strings[i][len(strings[i]) - k :] for i, k in zip(string, suffix)]
         assert got == sorted(got) and len(set(zip(string.tolist(), suffix.tolist()))) == sum(len(s) + 1 for s in strings)
         for a, b, n in zip(got, got[1:], lcp[1:]):
             assert n == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    assert not list(tmp_path.iterdir())
+
+
+def test_files_and_arrays_agree_on_long_strings(tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = bytes(rng.integers(97, 101, 400).astype(np.uint8))
+    strings = [base[i : i + 300] for i in range(0, 100, 9)] + [bytes(rng.integers(0, 250, int(n)).astype(np.uint8)) for n in rng.integers(1, 300, 40)]
+    want = suffixes.column_wise(strings)
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    for x, y in zip(want, suffixes.column_wise(strings, f"{tmp_path}/files")):
+        assert (x == y).all()
+
+
+def test_suffix_repeats_with_files(spark, texts):
+    some = [t for _, t in texts[:60]]
+    df = make(spark, list(enumerate(some)))
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.mark(df.select("doc_id", "text"), sort_bytes=1000).collect()}
+    assert got == dict(enumerate(brute_repeats(some, 100)))
 
 
 # pages
