@@ -21,8 +21,10 @@ from . import tokens
 from ._runtime import materialize, pieces_of
 
 CAPACITY = 4096
-#: Fillings that a node of the search tries, and nodes that the search opens.
-FILLINGS, NODES = 24, 4_000
+#: Fillings that a node of the search tries, nodes that the search opens,
+#: and cuts that its first packing is sought by: more of them may save bins, no
+#: piece depends on them.
+FILLINGS, NODES, CUTS = 24, 4_000, 16
 #: Rows that a window over pieces of one length may hold on average.
 ROWS_IN_WINDOW = 10_000
 
@@ -88,6 +90,32 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def fullest(counts: dict[int, int], lengths: list[int], room: int, firsts: int = 8) -> tuple:
+    """The filling of at most two pieces, or of one of some pieces and two, that wastes least: ((length, times), ...)."""
+    best, chosen = room, ()
+    every = np.array(lengths[: bisect_right(lengths, room)])
+    for k in range(firsts + 1):  # without a first piece, then with one of each part of the lengths
+        first = lengths[(len(every) - 1) * k // firsts] if k and len(every) else 0
+        if first and not counts[first]:
+            continue
+        left = room - first
+        some = every[: bisect_right(lengths, left, 0, len(every))]
+        second = np.searchsorted(some, np.minimum(left - some, some), "right") - 1
+        total = some + np.where(second >= 0, some[second], 0)
+        for i in np.argsort(-total, kind="stable")[:4].tolist():
+            items: dict[int, int] = {}
+            for x in (first, int(some[i]), int(some[second[i]]) if second[i] >= 0 else 0):
+                if x:
+                    items[x] = items.get(x, 0) + 1
+            waste = left - int(total[i])
+            if waste < best and all(counts[x] >= n for x, n in items.items()):
+                best, chosen = waste, tuple(items.items())
+                break
+        if not best:
+            break
+    return chosen
+
+
 def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, most: int) -> list[tuple[int, tuple]]:
     """Undominated ways to fill ``room``: (waste, ((length, times), ...)), least waste first.
 
@@ -136,22 +164,61 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int,
     return list({f[1]: f for f in found}.values())[:most] or [(room, ())]
 
 
+def completed(counts: dict[int, int], capacity: int) -> Plan:
+    """Bin completion without a way back: the longest piece left with the filling that wastes least."""
+    left, lengths, plan = dict(counts), sorted(counts), []
+    while lengths:
+        longest = lengths[-1]
+        left[longest] -= 1
+        items = fullest(left, lengths, capacity - longest)
+        left[longest] += 1
+        whole = dict(items)
+        whole[longest] = whole.get(longest, 0) + 1
+        bins = min(left[x] // n for x, n in whole.items())
+        for x, n in whole.items():
+            left[x] -= n * bins
+            if not left[x]:
+                del left[x], lengths[bisect_left(lengths, x)]
+        plan.append((tuple(whole.items()), bins))
+    return plan
+
+
+def incumbent(counts: dict[int, int], capacity: int, least: int, cuts: int = CUTS) -> Plan:
+    """The best packing to begin with: best-fit decreasing over all pieces, or, where that is
+    over the lower bound, over those longer than a cut with the shorter ones completed bin by bin.
+
+    Where few pieces fit a bin, best fit alone spends the middling ones in
+    bins that have room for one more; the cuts keep them for fuller bins.
+    """
+    best = best_fit(counts, capacity)
+    used, lengths = sum(n for _, n in best), sorted(counts)
+    number = np.cumsum([counts[x] for x in lengths])
+    for k in range(cuts):
+        if used <= least:
+            break
+        at = int(np.searchsorted(number, number[-1] * (1 - k / (1.5 * cuts)))) + 1
+        plan = best_fit({x: counts[x] for x in lengths[at:]}, capacity) + completed({x: counts[x] for x in lengths[:at]}, capacity)
+        if (n := sum(n for _, n in plan)) < used:
+            best, used = plan, n
+    return best
+
+
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, most: int = FILLINGS) -> Plan:
     """Pack a histogram of lengths into few bins: [(((length, times), ...), bins)].
 
     Depth-first bin completion.  A node takes the longest piece left, tries the
     undominated fillings of the room beside it from least waste on, and uses
     the chosen bin as often as the counts allow.  A branch ends when its waste
-    leaves no bin to save against the best packing known, which starts as
-    best-fit decreasing.  The search stops at the lower bound or after
-    ``nodes`` nodes, with the best packing found so far.
+    leaves no bin to save against the best packing known, which ``incumbent``
+    gives first.  The search stops at the lower bound, or after ``nodes`` nodes,
+    with the best packing found so far.
     """
     counts = {k: v for k, v in counts.items() if v}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    best = best_fit(counts, capacity)
-    used = sum(n for _, n in best)
     least = lower_bound(counts, capacity)
+    best = incumbent(counts, capacity, least)
+    used = sum(n for _, n in best)
     total = sum(k * v for k, v in counts.items())
     left = dict(counts)
     lengths = sorted(left)
@@ -284,8 +351,8 @@ def deal(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
                 names=[*(n for n in batch.schema.names if n != "__rank"), "sequence_id", "offset"],
             )
 
-    salts = max(1, -(-sum(histogram.values()) // ROWS_IN_WINDOW))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = F.array(*(F.lit(max(1, -(-histogram.get(x, 0) // ROWS_IN_WINDOW))) for x in range(capacity + 1)))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))).cast("int"))
     within = Window.partitionBy("length", "__salt")
     before = salted.groupBy("length", "__salt").count().select("length", "__salt", (F.sum("count").over(Window.partitionBy("length").orderBy("__salt")) - F.col("count")).alias("__before"))
     ranked = salted.withColumn("__row", F.row_number().over(within.orderBy("doc_id", "piece", "ids_crc32")))

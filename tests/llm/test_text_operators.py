@@ -123,6 +123,18 @@ def test_plan_of_large_counts():
     assert sum(n for _, n in plan) == 10**9 + 5
 
 
+def test_plan_beats_best_fit_where_few_pieces_fit_a_bin():
+    counts = collections.Counter(np.random.default_rng(0).integers(900, 2100, 5000).tolist())
+    plan = packing.plan_bins(counts, 4096)
+    packed = collections.Counter()
+    for items, bins in plan:
+        assert sum(x * n for x, n in items) <= 4096
+        for x, n in items:
+            packed[x] += n * bins
+    assert packed == counts
+    assert sum(n for _, n in plan) < 0.97 * sum(n for _, n in packing.best_fit(counts, 4096))
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_records(which, request, texts, ids):
     df, want = request.getfixturevalue(which), ODD if which == "odd" else texts
