@@ -22,6 +22,10 @@ from ._runtime import pieces_of
 UNDETERMINED = "und"
 #: Documents that the model is fitted on, about: a bounded, seeded sample.
 TRAIN_DOCS = 20_000
+#: Labels that a model may have: the most frequent ones.
+MOST_LABELS = 1000
+#: Bytes whose n-grams are looked up at once.
+SLICE = 1 << 20
 #: Bits of an n-gram's hash, and the lengths of n-grams in bytes.
 BITS, ORDERS = 16, (2, 3, 4)
 SMOOTHING = 0.1
@@ -85,13 +89,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
     order, whatever the corpus.
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
+    known = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
     languages = sorted(r["lang"] for r in known)
     if not languages:
         return [], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32)
     fair = fair_share([r["count"] for r in known], train_docs)
-    limits = F.create_map(*(F.lit(v) for r in known for v in (r["lang"], int(np.ceil(min(1.0, fair / r["count"]) * (1 << 20))))))
-    picked = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < limits[F.col("lang").cast("string")])
+    limits = F.create_map(*(F.lit(v) for r in known for v in (r["lang"], int(np.ceil(min(1.0, fair / r["count"]) * (1 << 62))))))
+    picked = usable.where(F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("train")), 2) < limits[F.col("lang").cast("string")])
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +141,14 @@ def judge(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
     ends = np.flatnonzero(~letter[1:] & letter[:-1]) + 1
     ll = np.zeros((len(begins), table.shape[2]), np.float32)
-    bounds = np.empty(2 * len(begins), np.int64)
-    bounds[0::2], bounds[1::2] = begins, ends
-    for o, h in enumerate(grams(raw)):
-        ll += np.add.reduceat(table[o][h], bounds, axis=0)[0::2]
+    cuts = np.append(np.searchsorted(begins, np.arange(0, len(raw), SLICE)), len(begins))
+    for a, b in zip(cuts, cuts[1:]):  # slices of whole words, and what their n-grams reach into
+        if a < b:
+            low, high = begins[a], ends[b - 1]
+            bounds = np.empty(2 * (b - a), np.int64)
+            bounds[0::2], bounds[1::2] = begins[a:b] - low, ends[a:b] - low
+            for o, h in enumerate(grams(raw[low : high + max(ORDERS)])):
+                ll[a:b] += np.add.reduceat(table[o][h], bounds, axis=0)[0::2]
     doc = np.searchsorted(at, begins, "right") - 1
     starts = np.searchsorted(doc, np.arange(len(texts)))
     top = ll.max(axis=1, keepdims=True)
@@ -177,7 +185,10 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
     ``score`` is the share of the predicted language.  A null text, one without
     a letter or without a word of letter bytes is ``und`` with score 0, and so
-    are all texts where nothing can be learned.  Rows are judged one by one.
+    are all texts where nothing can be learned.  Rows are judged one by one and
+    whole, n-grams looked up in slices; ties go to the first language by name.
+    The MOST_LABELS most frequent labels are learned.  An empty table gives no
+    rows.
     """
     languages, table = train(docs, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast((languages, table))  # BITS and the number of languages bound it
@@ -204,6 +215,7 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.4, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs, all columns, whose language is determined with at least this share.
 
+    Texts of any length are judged whole; ties go to the first language by name.
     A text whose n-grams are no likelier in its languages than if all were
     equally frequent is in none of them and goes as well.
     Rows go batch by batch through the model and are never shuffled.

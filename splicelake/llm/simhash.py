@@ -33,6 +33,10 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS = 3
 #: Fingerprints that a shard aims at; leaves that a tree may have, which bounds its broadcast.
 SHARD_ROWS, MOST_LEAVES = 1500, 1 << 15
+#: Fingerprints of one shard from which it is compared in pairs of blocks.
+CROWDED_SHARD = 20_000
+#: Fingerprints that may be joined by broadcast, as they have over 1 / MOST_HOT of the rows each.
+MOST_HOT = 2000
 #: Fingerprints that vantage points and radii are chosen from.
 SAMPLE = 40_000
 
@@ -152,22 +156,37 @@ def _forest(own: np.ndarray, guests: np.ndarray, r: int) -> tuple[np.ndarray, np
     return np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])
 
 
-def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int = SHARD_ROWS, crowded: int = CROWDED_SHARD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long, each once).
 
     They connect exactly those that chains of distances up to r bits connect.
     Fingerprints travel in packed arrays: a row for each (batch, tree, leaf).
+    What agrees on all bits of a band cannot be split by that band's tree: a
+    shard of over ``crowded`` fingerprints is dealt into blocks, each two of
+    which meet in a task of their own, and its guests meet each block.
     """
     spark = fps.sparkSession
     n = fps.count()
     depth = min(MOST_LEAVES.bit_length() - 1, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     share = min(1.0, SAMPLE / max(1, n))
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("fp").toPandas()
+    sample = fps.where(F.shiftrightunsigned(F.xxhash64("fp"), 2) < F.lit(int(share * (1 << 62)))).select("fp").toPandas()
     sample = np.sort(sample["fp"].to_numpy(np.int64)).view(np.uint64)
     trees = [Tree(sample, mask, depth, seed) for seed, mask in enumerate(band_masks(bands))]
     shared = spark.sparkContext.broadcast(trees)  # MOST_LEAVES bounds it
     inner = r // bands
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 << depth, np.int64) for _ in shared.value]
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            for n, tree in zip(total, shared.value):
+                n += np.bincount(tree.home(x), minlength=1 << depth)
+        for t, n in enumerate(total):
+            yield pa.RecordBatch.from_pydict({"shard": t << 32 | np.flatnonzero(n), "n": n[n > 0]})
+
+    full = fps.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > crowded)
+    blocks = {r["shard"]: -(-r["n"] // max(1, crowded // 2)) for r in full.collect()}  # leaves of all trees at most
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -182,9 +201,16 @@ def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int =
                     order = np.argsort(leaves, kind="stable")
                     some, cuts = np.unique(leaves[order], return_index=True)
                     for k, part in zip(some, np.split(values[order], cuts[1:])):
-                        rows.append((t << 32 | int(k), guest, part.tobytes()))
-            shard, guest, data = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(guest, pa.bool_()), pa.array(data, pa.binary())], names=["shard", "guest", "data"])
+                        shard = t << 32 | int(k)
+                        n = blocks.get(shard, 1)
+                        own = (part * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+                        for i in range(n):
+                            if guest:
+                                rows.append((shard, i * n + i, True, part.tobytes()))
+                            elif len(mine := part[own == i]):
+                                rows += [(shard, min(i, j) * n + max(i, j), j < i, mine.tobytes()) for j in range(n)]
+            shard, block, guest, data = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(block, pa.int64()), pa.array(guest, pa.bool_()), pa.array(data, pa.binary())], names=["shard", "block", "guest", "data"])
 
         for batch in batches:
             held.append(batch.column(0).to_numpy())
@@ -199,16 +225,16 @@ def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int =
         a, b = _forest(own, guests, r)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(deal, "shard long, guest boolean, data binary").groupBy("shard").applyInPandas(compare, "a long, b long")
+    return fps.select("fp").mapInArrow(deal, "shard long, block long, guest boolean, data binary").groupBy("shard", "block").applyInPandas(compare, "a long, b long")
 
 
 def classes_of(printed: DataFrame, r: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """fp, least (its smallest doc_id) and component_id of each distinct fp of (doc_id, fp)."""
-    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    """fp, least (its smallest doc_id), n (its rows) and component_id of each distinct fp of (doc_id, fp)."""
+    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(links(classes, r, bands)).withColumnRenamed("component", "root")
     named = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    return classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component_id", "least").alias("component_id"))
+    return classes.join(linked, "fp", "left").select("fp", "least", "n", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
@@ -222,7 +248,11 @@ def near_duplicates(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size:
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     printed = materialize(fingerprints(plain, size), "fingerprints")
-    return printed.join(classes_of(printed, r, bands), "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(classes_of(printed, r, bands), "named")
+    # a fingerprint of many rows never meets in one task: at most MOST_HOT have that share of all rows
+    hot = classes.where(F.col("n") * MOST_HOT > printed.count())
+    rest = printed.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes.select("fp", "component_id"), "fp")
+    return printed.join(F.broadcast(hot.select("fp", "component_id")), "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, r: int = RADIUS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:

@@ -365,6 +365,58 @@ def test_language(docs, odd, empty, spark):
     assert kept.columns == docs.columns and kept.count() >= 0.97 * docs.count()
 
 
+def plain_mixture(text, table):
+    """Expectation maximisation and the choice of a set, word by word in plain Python."""
+    raw = language.normal([text])[0]
+    hashes = language.grams(raw)
+    words, at = [], 0
+    while at < len(raw):
+        if raw[at] == 32:
+            at += 1
+            continue
+        stop = at
+        while stop < len(raw) and raw[stop] != 32:
+            stop += 1
+        words.append([sum(float(table[o][h[i]][k]) for o, h in enumerate(hashes) for i in range(at, stop)) for k in range(table.shape[2])])
+        at = stop
+    p = [[np.exp(x - max(w)) for x in w] for w in words]
+
+    def expect(allowed, rounds):
+        w = [a / sum(allowed) for a in allowed]
+        for _ in range(rounds):
+            share = [0.0] * len(w)
+            for row in p:
+                mass = [a * b for a, b in zip(w, row)]
+                share = [s + m / sum(mass) for s, m in zip(share, mass)]
+            w = [s / sum(share) for s in share]
+        return w
+
+    k = table.shape[2]
+    rank = sorted(range(k), key=lambda i, w=expect([1] * k, language.ROUNDS): (-w[i], i))
+    best, chosen = -np.inf, None
+    rising = True
+    for size in range(1, k + 1):
+        if size > language.MOST_LANGUAGES and not rising:
+            break
+        w = expect([1.0 if i in rank[:size] else 0.0 for i in range(k)], language.SET_ROUNDS if size > 1 else 1)
+        fit = sum(np.log(sum(a * b for a, b in zip(w, row))) for row in p) - size * np.log(len(p) + 1)
+        rising = fit > best + 1e-9
+        if rising:
+            best, chosen = fit, w
+    return chosen
+
+
+def test_mixture_equals_plain_python(docs, texts, monkeypatch):
+    names, table = language.train(docs)
+    some = [t for _, t in texts if t and language.has_letter(t)]
+    some = [t[:1500] for t in some[:25]] + [some[3][:300] + " " + some[40][:400] + " " + some[41][:300]]
+    every = language.infer(some, table)[2]
+    for t, row in zip(some, every):
+        assert np.allclose(row, plain_mixture(t, table), atol=2e-3), t[:60]
+    monkeypatch.setattr(language, "SLICE", 64)
+    assert np.allclose(language.infer(some, table)[2], every, atol=1e-5)
+
+
 def test_mixture_finds_both_languages(spark, docs):
     parts = {r.lang: r.text for r in docs.where("length(text) > 3000").collect() if "###" not in r.text}
     both = spark.createDataFrame([(10**6 + 6, parts["en"][:2000] + " " + parts["de"][:2000], "en")], "doc_id long, text string, lang string")
@@ -446,13 +498,15 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
-def test_trees_lose_no_pair(spark):
+@pytest.mark.parametrize("crowded", [simhash.CROWDED_SHARD, 20])
+def test_trees_lose_no_pair(spark, crowded):
+    """Also where shards are so crowded that they are compared in pairs of blocks."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, int(rng.integers(1, 5)), replace=False)) for b in base[:400]]
     fps = list(dict.fromkeys([*map(int, base), *near]))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard_rows=60)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard_rows=60, crowded=crowded)
     found = {r.node: r.component for r in components(edges).collect()}
     root = dict(zip(signed, brute_components(fps, signed)))
     groups = collections.defaultdict(set)
