@@ -19,9 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     at a node of high degree.  Each round is written, so that a lost executor
     costs one round at most.  A node with no edge but to itself is a component.
     """
-    ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
-    e = materialize(ends.where("a <> b").distinct(), "edges")
+    # written first: what finds the edges runs once
+    ends = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    alone = ends.where("a = b").select(F.col("a").alias("node"))
+    e = ends.where("a <> b")
     before = _signature(e)
     for _ in range(MOST_ROUNDS):
         if not before[0]:
