@@ -42,7 +42,7 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return s.select("source", "source_size", "rows", F.when(F.col("clamped"), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and copies for each document.
 
     A source repeats ``floor(target / size)`` times whole.  The rest of its
@@ -53,9 +53,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
 
     A null text has size 0, a null source is a source of its own, repeated rows
     are documents of their own, and an empty table gives no rows.  A source of
-    size 0 has target 0.
+    size 0 has target 0.  ``key`` adds a column of its own, by which ties go last.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.lit(0) if key is None else key).cast("long").alias("key"))
     sized = materialize(sized, "sizes")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, epochs)
@@ -65,27 +65,32 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     x = sized.join(aims, F.col("source").eqNullSafe(F.col("s_source")))
     x = x.withColumn("h", unit_hash(seed, "doc_id")).withColumn("stratum", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("rows") / ROWS_IN_STRATUM))))
     part = Window.partitionBy("source", "stratum")
-    run = part.orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = part.orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("upto", F.sum("size").over(run)).withColumn("aim", F.col("fraction") * F.sum("size").over(part))
     x = x.withColumn("first", F.col("upto") <= F.col("aim"))
     x = x.withColumn("gap", F.col("aim") - F.coalesce(F.max(F.when(F.col("first"), F.col("upto"))).over(part), F.lit(0)))
     x = x.withColumn("off", F.when(~F.col("first"), F.abs(F.col("size") - F.col("gap"))))
-    near = part.orderBy(F.col("off").asc_nulls_last(), "h", "doc_id", "size")
+    near = part.orderBy(F.col("off").asc_nulls_last(), "h", "doc_id", "size", "key")
     extra = F.col("first") | ((F.row_number().over(near) == 1) & (F.col("off") < F.abs(F.col("gap"))))
     x = x.withColumn("copies", F.least(F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"), F.lit(int(epochs)).cast("long")))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *["key"] * (key is not None))
 
 
 def repeat(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mixture itself: each row of docs, all columns, as often as the mix takes it."""
+    """The mixture itself: each row of docs, all columns, as often as the mix takes it.
+
+    Rows are told apart by doc_id and a hash of all columns, so that only rows
+    that are equal throughout share a number; reruns agree.
+    """
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
     def numbered(df: DataFrame) -> DataFrame:
-        order = Window.partitionBy("__id").orderBy("__source", "__size")
-        return df.withColumn("__row", F.row_number().over(order))
-
-    times = mix(docs, weights, share, epochs, seed)
-    times = numbered(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
-    times = times.select(F.col("__id").alias("__t_id"), F.col("__row").alias("__t_row"), F.col("copies").alias("__copies"))
-    rows = numbered(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text"))}))
-    taken = rows.join(times, F.col("__id").eqNullSafe(F.col("__t_id")) & (F.col("__row") == F.col("__t_row"))).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+        return df.withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0) if "__copies" not in df.columns else F.desc("__copies"))))
+
+    times = mix(docs, weights, share, epochs, seed, whole)
+    times = numbered(times.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies")))
+    times = times.select(F.col("__id").alias("__t_id"), F.col("__key").alias("__t_key"), F.col("__row").alias("__t_row"), "__copies")
+    rows = numbered(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": whole}))
+    same = F.col("__id").eqNullSafe(F.col("__t_id")) & (F.col("__key") == F.col("__t_key")) & (F.col("__row") == F.col("__t_row"))
+    taken = rows.join(times, same).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
