@@ -231,9 +231,12 @@ def links(fps: DataFrame, r: int = RADIUS, bands: int = BANDS, shard_rows: int =
 def classes_of(printed: DataFrame, r: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """fp, least (its smallest doc_id), n (its rows) and component_id of each distinct fp of (doc_id, fp)."""
     classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    roots = components(links(classes, r, bands)).withColumnRenamed("component", "root")
-    named = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    roots = materialize(components(links(classes, r, bands)).withColumnRenamed("component", "root"), "roots")
+    named = materialize(roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    # a component of many fingerprints never meets in one task
+    hot = named.where(F.col("members") * MOST_HOT > classes.count()).select("root", "component_id")
+    rest = roots.join(F.broadcast(hot), "root", "left_anti").join(named.select("root", "component_id"), "root")
+    linked = roots.join(F.broadcast(hot), "root").unionByName(rest).select(F.col("node").alias("fp"), "component_id")
     return classes.join(linked, "fp", "left").select("fp", "least", "n", F.coalesce("component_id", "least").alias("component_id"))
 
 
