@@ -3,6 +3,7 @@ customer, a transcript an order, its segments the brands of its lines."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import alignment, components, intervals, ordered, paths, relational, similarity
-from ..sources import sinks
-from ..storage import materialize
+from ..sources import sinks, tables
+from ..storage import materialize, shared_folder
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
 
@@ -403,13 +404,13 @@ def inner_join_dedup(spark, sf_dir):
     return relational.keep_first(x, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey", "c_name")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey AS k, l_returnflag AS f, max(l_linenumber) AS m FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
-SELECT k, f, n, m FROM a NATURAL JOIN b""")
+@query("""WITH a AS (SELECT l_orderkey AS k, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey AS k, l_linestatus AS g, max(l_linenumber) AS m FROM lineitem GROUP BY 1, 2)
+SELECT k, f, n, g, m FROM a NATURAL JOIN b""")
 def natural_join(spark, sf_dir):
     x = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), "l_linenumber", "l_linestatus")
     a = x.groupBy("k", "f").agg(F.count(F.lit(1)).alias("n"))
-    b = x.where("l_linestatus = 'O'").groupBy("k", "f").agg(F.max("l_linenumber").alias("m"))
-    return a.join(b, [c for c in a.columns if c in b.columns]).select("k", "f", "n", "m")
+    b = x.groupBy("k", F.col("l_linestatus").alias("g")).agg(F.max("l_linenumber").alias("m"))
+    return a.join(b, [c for c in a.columns if c in b.columns]).select("k", "f", "n", "g", "m")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
@@ -442,17 +443,9 @@ def tidy_explode(spark, sf_dir):
     return ordered.running_span(x, ["p_partkey"], ["rank"], "len", "start", "stop").select("p_partkey", "rank", "piece", "start", "stop")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '0_' || CAST(dense_rank() OVER (ORDER BY f) AS VARCHAR) ELSE p_type END AS segment_id FROM
-(SELECT *, CASE WHEN p_size % 3 = 0 THEN min(p_partkey) OVER (PARTITION BY p_brand, p_size % 3 = 0) END AS f FROM part) WHERE p_size % 3 = 0""")
-def impute_missing_ids(spark, sf_dir):
-    x = load(spark, sf_dir, "part").where("p_size % 3 = 0")
-    numbers = relational.first_seen_index(x, "p_brand", ["p_partkey"])
-    return x.join(numbers, "p_brand").select("p_partkey", F.concat(F.lit("0_"), (F.col("index") + 1).cast("string")).alias("segment_id"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '0_' || CAST(dense_rank() OVER (ORDER BY f) AS VARCHAR) ELSE p_type END AS segment_id FROM
 (SELECT *, CASE WHEN p_size % 3 = 0 THEN min(p_partkey) OVER (PARTITION BY p_brand, p_size % 3 = 0) END AS f FROM part)""")
-def impute_missing_ids_all(spark, sf_dir):
+def impute_missing_ids(spark, sf_dir):
     """Every part with its id; the modulo only says which ids are missing."""
     x = load(spark, sf_dir, "part")
     missing = F.coalesce(F.col("p_size") % 3 == 0, F.lit(False))
@@ -487,16 +480,8 @@ def constitutive_scores(spark, sf_dir):
     return w.join(t, "l_suppkey").select("l_suppkey", "l_partkey", S.constitutive_score(F.col("n"), F.col("k")).alias("score"))
 
 
-@query("""SELECT o_custkey AS id, o_orderpriority AS biotype, CAST(NULL AS VARCHAR) AS source FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'protein_coding', 'user' FROM orders WHERE o_orderstatus = 'P'""")
-def union_user_rows(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    base = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("Biotype"))
-    both = relational.add_user_rows(base, o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")))
-    return both.select("id", F.col("Biotype").alias("biotype"), F.col("Source").alias("source"))
-
-
 @query("""SELECT o_custkey AS id, o_orderpriority AS biotype, CAST(NULL AS VARCHAR) AS source FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P' UNION ALL SELECT o_custkey, 'protein_coding', 'user' FROM orders WHERE o_orderstatus = 'P'""")
-def union_user_rows_all(spark, sf_dir):
+def union_user_rows(spark, sf_dir):
     """Orders of status P are the rows of users, all others the base."""
     o = load(spark, sf_dir, "orders")
     user = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
@@ -587,31 +572,26 @@ def segment_coordinates(spark, sf_dir):
 # clusters
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
-p AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM p UNION SELECT p.b, r.x FROM r JOIN p ON p.a = r.node)
-SELECT node, min(x) AS component FROM r GROUP BY 1""")
-def connected_components(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return components.components(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
-
+#: Least labels spread over edges; each round keeps one label a node.
+_LEAST = """RECURSIVE r(node, x) USING KEY (node) AS (SELECT node, min(x) AS x FROM (SELECT a AS node, least(a, b) AS x FROM e UNION ALL SELECT b, least(a, b) FROM e) GROUP BY 1
+UNION SELECT f.node, f.x FROM (SELECT p.b AS node, min(r.x) AS x FROM r JOIN p ON p.a = r.node GROUP BY 1) f JOIN recurring.r AS k ON k.node = f.node WHERE f.x < k.x)"""
 
-@query("""WITH RECURSIVE x AS (SELECT DISTINCT o_custkey AS item, CAST(floor(o_totalprice) AS BIGINT) % 20011 AS cl FROM orders WHERE o_orderstatus = 'P'),
-u AS (SELECT * FROM x WHERE cl <> 0), e AS (SELECT DISTINCT a.cl AS a, b.cl AS b FROM u a JOIN u b ON a.item = b.item), r AS (SELECT a AS node, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.node),
-k AS (SELECT node, min(m) AS c FROM r GROUP BY 1) SELECT item, coalesce(c, cl) AS cl FROM x LEFT JOIN k ON node = cl""")
-def merge_clusters(spark, sf_dir):
-    x = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("item"), F.pmod(F.floor("o_totalprice"), F.lit(20011)).alias("cl")).distinct()
-    return components.merge_clusters(x, "item", "cl")
+_LINKS = """RECURSIVE x AS (SELECT DISTINCT o_custkey AS item, CAST(floor(o_totalprice) AS BIGINT) % 20011 AS cl FROM orders), u AS (SELECT * FROM x WHERE cl <> 0),
+f AS (SELECT item, min(cl) AS b FROM u GROUP BY 1), e AS (SELECT DISTINCT cl AS a, b FROM u JOIN f USING (item)), p AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"""
+_BILLS = """RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders), p AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"""
 
 
-@query()
-def connected_components_all(spark, sf_dir):
+@query(f"""WITH {_LEAST.replace('RECURSIVE', _BILLS)}
+SELECT node, x AS component FROM r""")
+def connected_components(spark, sf_dir):
     """Customers and prices of all orders."""
     o = load(spark, sf_dir, "orders")
     return components.components(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
 
 
-@query()
-def merge_clusters_all(spark, sf_dir):
+@query(f"""WITH {_LEAST.replace('RECURSIVE', _LINKS)}
+SELECT item, coalesce(r.x, cl) AS cl FROM x LEFT JOIN r ON node = cl""")
+def merge_clusters(spark, sf_dir):
     """Clusters of the customers of all orders."""
     x = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.pmod(F.floor("o_totalprice"), F.lit(20011)).alias("cl")).distinct()
     return components.merge_clusters(x, "item", "cl")
@@ -650,9 +630,148 @@ def transcript_lines(spark, sf_dir):
     return sinks.transcript_lines(load(spark, sf_dir, "part"), "p_brand", "p_name")
 
 
+# scalars, identifiers and exports
+
+_DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, substr({_DNA.format('CAST(l_partkey AS VARCHAR)')}, CAST((CASE WHEN l_returnflag = 'R' THEN 31 - 9 - l_suppkey % 20 ELSE l_suppkey % 20 END) + 1 AS INT), 10) AS part FROM lineitem""")
+def interval_slice(spark, sf_dir):
+    """Ten bases of a region of 32 at a genomic place, read on either strand."""
+    x = load(spark, sf_dir, "lineitem")
+    start, first = F.col("l_partkey") * 100, F.col("l_suppkey") % 20
+    strand = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
+    cut = S.slice_interval(S.dna(F.col("l_partkey").cast("string")), strand, start, start + 31, start + first, start + first + 9)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", cut.alias("part"))
+
+
+@query(f"""WITH d AS (SELECT p_partkey, left({_DNA.format('p_name')}, p_size % 7) AS seq, p_size % 4 - 1 AS ph FROM part)
+SELECT p_partkey, CASE WHEN ph > 0 THEN left(seq, greatest(len(seq) - ph, 0)) ELSE seq END AS trimmed, CASE WHEN ph BETWEEN 0 AND 2 THEN (3 - ph) % 3 END AS bases_before, CASE WHEN ph BETWEEN 0 AND 2 THEN ph END AS bases_after FROM d""")
+def codon_ends(spark, sf_dir):
+    """Bases that a codon shares with the exon before and after, and sequences without those of the next exon."""
+    ph = F.col("p_size") % 4 - 1
+    x = load(spark, sf_dir, "part").select("p_partkey", F.left(S.dna(F.col("p_name")), F.col("p_size") % 7).alias("seq"), ph.cast("int").alias("ph"))
+    return x.select("p_partkey", S.trim_end(F.col("seq"), F.col("ph")).alias("trimmed"), S.bases_before(F.col("ph")).alias("bases_before"), S.bases_after(F.col("ph")).alias("bases_after"))
+
+
+@query("""WITH d AS (SELECT p_partkey, p_name AS s, p_size % 3 AS a, (p_size // 3) % 3 AS b FROM part), h AS (SELECT *, CASE WHEN a > 0 THEN substr(s, 2) ELSE s END AS t FROM d)
+SELECT p_partkey, CASE WHEN b > 0 THEN left(t, greatest(len(t) - 1, 0)) ELSE t END AS residues, a - 1 <> b - 1 AND a - 1 <> -1 AND b - 1 <> -1 AS differ FROM h""")
+def comparable_residues(spark, sf_dir):
+    """Residues that do not depend on a neighbour, and whether two phases differ (-1 is a wildcard)."""
+    a, b = F.col("p_size") % 3, F.floor(F.col("p_size") / 3) % 3
+    return load(spark, sf_dir, "part").select("p_partkey", S.comparable(F.col("p_name"), a, b).alias("residues"), S.differ(a - 1, b - 1).alias("differ"))
+
+
+_NAMES = """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN lower(replace(p_name, ' ', '_')) WHEN 1 THEN lower(split_part(p_name, ' ', 1)) || '_' || lower(p_type) WHEN 2 THEN 'ENSG' || lpad(CAST(p_partkey AS VARCHAR), 11, '0')
+WHEN 3 THEN CAST(p_partkey AS VARCHAR) || '_' || CAST(p_size AS VARCHAR) ELSE p_name END AS name FROM part"""
+
+
+@query(f"""WITH n AS ({_NAMES}) SELECT p_partkey, name, regexp_matches(name, '^[a-z]+_[a-z]+(_[0-9a-z]+)?$') AS is_species, regexp_matches(name, '^ENS.*G[0-9]{{11}}') AS is_gene, regexp_matches(name, '^[0-9]+_[0-9]+') AS is_segment,
+array_to_string(list_transform(list_slice(string_split(name, '_'), 1, -2), lambda x: left(x, 1)), '') || list_extract(string_split(name, '_'), -1) AS dataset FROM n""")
+def name_checks(spark, sf_dir):
+    """What names are names of, and the dataset of a species."""
+    low = lambda c: F.lower(c)
+    key = F.col("p_partkey").cast("string")
+    kind = F.col("p_size") % 5
+    name = F.when(kind == 0, low(F.replace("p_name", F.lit(" "), F.lit("_")))).when(kind == 1, F.concat(low(F.split("p_name", " ")[0]), F.lit("_"), low(F.col("p_type"))))
+    name = name.when(kind == 2, F.concat(F.lit("ENSG"), F.lpad(key, 11, "0"))).when(kind == 3, F.concat(key, F.lit("_"), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    x, n = load(spark, sf_dir, "part").select("p_partkey", name.alias("name")), F.col("name")
+    return x.select("p_partkey", "name", S.is_species(n).alias("is_species"), S.is_stable_gene_id(n).alias("is_gene"), S.is_segment_id(n).alias("is_segment"), S.dataset_name(n).alias("dataset"))
+
+
+@query("""SELECT p_partkey, unnest(CASE WHEN p_size % 4 = 0 THEN [p_brand] ELSE string_split(replace(p_name, ' ', '/'), '/') END) AS label FROM part""")
+def split_labels(spark, sf_dir):
+    """The parts of a '/' list, or a default for an empty one, a row each."""
+    text = F.when(F.col("p_size") % 4 == 0, "").otherwise(F.replace("p_name", F.lit(" "), F.lit("/")))
+    return load(spark, sf_dir, "part").select("p_partkey", F.explode(S.split_list(text, F.col("p_brand"))).alias("label"))
+
+
+@query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1""")
+def label_map(spark, sf_dir):
+    """The last order of each customer."""
+    return relational.label_map(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"])
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS type, o_orderstatus AS species FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND o_orderstatus NOT IN ('P') AND o_orderstatus IN ('F', 'P')""")
+def orthologs(spark, sf_dir):
+    """Rows of wanted relationships and listed species, without forbidden ones."""
+    x = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("species"))
+    return relational.orthologs(x, ["1-URGENT", "3-MEDIUM"], ["P"], ["F", "P"])
+
+
+@query("""SELECT c_custkey, c_mktsegment, list_position(['MACHINERY', 'BUILDING', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE'], c_mktsegment) AS place FROM customer""")
+def order_by_list(spark, sf_dir):
+    """Customers in the order of a list of segments, with their place in it."""
+    names = ["MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]
+    rows = relational.order_by_list(load(spark, sf_dir, "customer"), "c_mktsegment", names)
+    return rows.select("c_custkey", "c_mktsegment", F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment")).cast("int").alias("place"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_partkey AS s, p_partkey + p_size - 10 AS e, p_partkey AS cs, p_partkey + p_size - 5 AS ce, p_name AS seq, CASE WHEN p_size % 2 = 0 THEN 'homo_sapiens' ELSE 'Homo sapiens' END AS sp FROM part),
+f AS (SELECT id, list_filter([CASE WHEN s > e THEN 'exon region order' END, CASE WHEN cs > ce THEN 'coding region order' END, CASE WHEN len(seq) <> e - s + 1 THEN 'sequence length' END, CASE WHEN NOT regexp_matches(sp, '^[a-z]+_[a-z]+$') THEN 'species name' END], lambda v: v IS NOT NULL) AS faults FROM x)
+SELECT id, array_to_string(faults, ', ') AS faults FROM f WHERE len(faults) > 0""")
+def user_row_faults(spark, sf_dir):
+    """The rules that exon rows of users break."""
+    p = F.col("p_partkey")
+    x = load(spark, sf_dir, "part").select(
+        p.alias("id"), p.alias("ExonRegionStart"), (p + F.col("p_size") - 10).alias("ExonRegionEnd"), p.alias("GenomicCodingStart"), (p + F.col("p_size") - 5).alias("GenomicCodingEnd"),
+        F.col("p_name").alias("NucleotideSequence"), F.when(F.col("p_size") % 2 == 0, "homo_sapiens").otherwise("Homo sapiens").alias("Species"),
+    )
+    return relational.user_row_faults(x).select("id", F.array_join("faults", ", ").alias("faults"))
+
+
+@query("""WITH f AS (SELECT p_type || '_' || CAST(p_size AS VARCHAR) AS segment, min(p_partkey) AS seen FROM part GROUP BY 1) SELECT segment, row_number() OVER (ORDER BY seen, segment) - 1 AS number FROM f""")
+def segment_codes(spark, sf_dir):
+    """A one-letter code for each segment by first appearance, given back as its place in the alphabet."""
+    x = load(spark, sf_dir, "part").select(F.concat("p_type", F.lit("_"), F.col("p_size").cast("string")).alias("segment"), "p_partkey")
+    coded = sinks.segment_codes(x, "segment", ["p_partkey"])
+    return coded.select("segment", (F.instr(F.lit(sinks.ALPHABET), F.col("code")) - 1).cast("long").alias("number"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_type, list(struct_pack(k := p_partkey, c := left(p_name, 1), s := replace(p_name, '*', '')) ORDER BY p_partkey) AS r FROM part GROUP BY 1, 2)
+SELECT p_brand, p_type, '>P1;' || p_brand || ' ' || p_type || ' ' || array_to_string(list_transform(r, lambda v: v.c), '') || chr(10) || array_to_string(list_transform(r, lambda v: repeat(v.c, len(v.s))), '') || chr(10) || array_to_string(list_transform(r, lambda v: v.s), '') || '*' AS value FROM r""")
+def pir_records(spark, sf_dir):
+    x = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", F.left("p_name", F.lit(1)).alias("code"), "p_name")
+    return sinks.pir(x, "p_brand", "p_type", "p_partkey", "code", "p_name")
+
+
+@query("""SELECT 0 AS place, 'graph [' || chr(10) || '  directed 1' AS value UNION ALL SELECT 3, ']'
+UNION ALL SELECT 1, '  node [' || chr(10) || '    id ' || CAST(n_nationkey AS VARCHAR) || chr(10) || '    label "' || n_name || '"' || chr(10) || '  ]' FROM nation
+UNION ALL SELECT 2, '  edge [' || chr(10) || '    source ' || CAST(s_nationkey AS VARCHAR) || chr(10) || '    target ' || CAST(s_suppkey AS VARCHAR) || chr(10) || '    name "' || s_name || '"' || chr(10) || '  ]' FROM supplier""")
+def gml_lines(spark, sf_dir):
+    """Nations as nodes, suppliers as edges of a GML graph."""
+    nodes = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    return sinks.gml(nodes, load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), F.col("s_suppkey").alias("target"), F.col("s_name").alias("name")))
+
+
+@query("""SELECT '{"r_regionkey":' || CAST(n_regionkey AS VARCHAR) || ',"n_name":"' || n_name || '"}' AS value FROM nation""")
+def json_rows(spark, sf_dir):
+    return sinks.json_lines(load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name"))
+
+
+@query("""SELECT 'ENST' || CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name, CASE WHEN o_orderstatus <> 'F' THEN try_cast(split_part(o_orderpriority, '-', 1) AS DOUBLE) END AS level FROM orders""")
+def csv_round_trip(spark, sf_dir):
+    """All orders written as CSV with NA for what is missing, and read back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    level = F.when(F.col("o_orderstatus") != "F", F.split("o_orderpriority", "-")[0])
+    sinks.write_csv(load(spark, sf_dir, "orders").select(F.concat(F.lit("ENST"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("name"), level.alias("flags")), path)
+    back = spark.read.csv(path, header=True, nullValue="NA", schema="id string, name string, flags string")
+    return back.select("id", "name", S.support_level(F.col("flags")).alias("level"))
+
+
+@query("""SELECT 'ENSE' || CAST(p_partkey AS VARCHAR) AS id, md5(p_name) || md5(p_brand) || md5(p_type) AS seq FROM part""")
+def fasta_round_trip(spark, sf_dir):
+    """All parts written as FASTA in lines of 80 letters, and read back."""
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    x = load(spark, sf_dir, "part").select(F.concat(F.lit("ENSE"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.md5("p_name"), F.md5("p_brand"), F.md5("p_type")).alias("seq"))
+    sinks.write_fasta(x, path, "id", "seq")
+    return tables.read_fasta(spark, path).select(F.col("header").alias("id"), "seq")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    whole = ("connected_components", "merge_clusters", "impute_missing_ids", "union_user_rows")
+    return _QUERIES | {f"{name}_all": _QUERIES[name] for name in whole}  # their names of old
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {f"{name}_all": _SQL[name] for name in ("connected_components", "merge_clusters", "impute_missing_ids", "union_user_rows")}

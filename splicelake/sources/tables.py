@@ -71,7 +71,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
     lines = F.split("value", "\r?\n")
     words = F.split("header", r"\s+")
-    x = raw.select(lines[0].alias("header"), F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "").alias("seq"), "file")
+    x = raw.select(lines[0].alias("header"), F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda line: F.trim(line)), "").alias("seq"), "file")
     return x.select("header", F.coalesce(F.try_element_at(words, F.lit(2)), words[0]).alias("id"), "seq", "file")
 
 

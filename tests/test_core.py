@@ -209,3 +209,26 @@ def test_entry_imports_and_answers(spark, small):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.queries()["disjoint_intervals"](spark, small).count() > 0
+
+
+def test_alphabet_of_segment_codes():
+    from splicelake.sources import sinks
+
+    assert sinks.ALPHABET[:3] == "%()" and list(sinks.ALPHABET) == sorted(set(sinks.ALPHABET))
+    assert not set(sinks.ALPHABET) & set(" \\*>\"',-_/;#$.&!@[]") and sinks.ALPHABET[-1] == "\u41c2"
+
+
+def test_fasta_lines_keep_their_digits(spark, tmp_path):
+    from splicelake.sources import tables
+
+    (tmp_path / "x.fasta").write_text(">a 0b1\n0AC0\n1GT1\n")
+    assert [tuple(r)[:3] for r in tables.read_fasta(spark, str(tmp_path)).collect()] == [("a 0b1", "0b1", "0AC01GT1")]
+
+
+def test_holders_of_sub_paths(spark):
+    from splicelake.operators import paths
+
+    p = spark.createDataFrame([(1, "g", "t1", "start/a/b/c/stop"), (1, "g", "t2", "start/a/c/stop"), (2, "h", "t3", "start/a/b/c/stop")], "family int, gene string, trx string, path string")
+    sub = spark.createDataFrame([(1, "a/b/c"), (1, "start/a"), (1, "b/a"), (1, "c/stop"), (2, "a/c")], "family int, sub string")
+    got = {(r.family, r["sub"], r.trx) for r in paths.holders(p, sub, "sub").collect()}
+    assert got == {(1, "a/b/c", "t1"), (1, "start/a", "t1"), (1, "start/a", "t2"), (1, "c/stop", "t1"), (1, "c/stop", "t2")}

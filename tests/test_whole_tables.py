@@ -36,7 +36,7 @@ def run(spark, folder, name):
 
 def test_components_of_all_orders(spark, folder):
     want = brute([(c, 1000000 + math.floor(p)) for c, _, p, _ in ORDERS])
-    assert run(spark, folder, "connected_components_all") == sorted(want.items(), key=str)
+    assert run(spark, folder, "connected_components") == sorted(want.items(), key=str)
 
 
 def test_clusters_of_all_orders(spark, folder):
@@ -46,13 +46,13 @@ def test_clusters_of_all_orders(spark, folder):
     for c, cl in used:
         if cl:
             name[label["c", cl]] = min(cl, name.get(label["c", cl], cl))
-    assert run(spark, folder, "merge_clusters_all") == sorted(((c, name[label["c", cl]] if cl else 0) for c, cl in used), key=str)
+    assert run(spark, folder, "merge_clusters") == sorted(((c, name[label["c", cl]] if cl else 0) for c, cl in used), key=str)
 
 
 def test_every_part_has_an_id(spark, folder):
-    assert run(spark, folder, "impute_missing_ids_all") == [(1, "t1"), (2, "0_1"), (3, "0_2"), (4, "t4"), (5, "0_1"), (6, "t6")]
+    assert run(spark, folder, "impute_missing_ids") == [(1, "t1"), (2, "0_1"), (3, "0_2"), (4, "t4"), (5, "0_1"), (6, "t6")]
 
 
 def test_every_order_is_a_row(spark, folder):
     want = [(c, "protein_coding", "user") if s == "P" else (c, p, None) for c, s, _, p in ORDERS]
-    assert run(spark, folder, "union_user_rows_all") == sorted(want, key=str)
+    assert run(spark, folder, "union_user_rows") == sorted(want, key=str)
