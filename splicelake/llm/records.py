@@ -158,6 +158,40 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(parse, "shard int, doc_id long, frame_offset long, frame_bytes long, start long, n_tokens long")
 
 
+def read_shuffled(spark: SparkSession, folder: str, seed: int, parts: int | None = None) -> DataFrame:
+    """Every record once, in an order that ``seed`` settles: part int, place long, shard int, doc_id long, ids array<int>.
+
+    The index alone is shuffled: records are dealt to parts and ordered within
+    them by a seeded hash of where they lie, and each is read from its offset.
+    Checksums are verified.  An empty folder gives no rows.
+    """
+    index = read_index(spark, folder).withColumn("h", F.xxhash64("shard", "frame_offset", F.lit(seed)))
+    dealt = index.repartition(parts, "h") if parts else index.repartition("h")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(folder)
+        part, place, name, file = TaskContext.get().partitionId(), 0, None, None
+        for batch in batches:
+            shards, _, offsets, sizes, *_ = (c.to_pylist() for c in batch.columns)
+            at = 0
+            while at < len(shards):
+                rows, held = [], 0
+                while at < len(shards) and held < 8 << 20:
+                    if name != shards[at]:
+                        if file:
+                            file.close()
+                        name, file = shards[at], fs.open_input_file(f"{base}/part-{shards[at]:06d}.rec")
+                    doc_id, ids, _ = unframe(memoryview(file.read_at(sizes[at], offsets[at])), 0)
+                    rows.append((part, place, shards[at], doc_id, ids.astype(np.int32)))
+                    held, place, at = held + sizes[at], place + 1, at + 1
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "place", "shard", "doc_id", "ids"])
+        if file:
+            file.close()
+
+    return dealt.sortWithinPartitions("h").drop("h").mapInArrow(fetch, "part int, place long, shard int, doc_id long, ids array<int>")
+
+
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = tokens.END_ID) -> DataFrame:
     """Write docs as records and digest what is read back.
 

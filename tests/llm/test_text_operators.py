@@ -169,6 +169,17 @@ def test_records_index_and_damage(spark, odd, empty, ids):
     assert records.unframe(memoryview(records.frame(None, np.array([70000, 1], "<u4"))), 0)[:2][0] is None
 
 
+def test_shuffled_reads_go_through_the_index(spark, odd, ids):
+    folder = new_path(spark, "rec")
+    records.write_records(odd, folder, PATH, shard_bytes=20_000)
+    runs = [[(r.part, r.place, r.doc_id, r.ids) for r in records.read_shuffled(spark, folder, seed, 3).collect()] for seed in (1, 1, 2)]
+    assert sorted(runs[0], key=repr) == sorted(runs[1], key=repr)
+    want = sorted(((i, ids(t).tolist()) for i, t in ODD), key=repr)
+    for run in runs:
+        assert sorted(((i, x) for _, _, i, x in run), key=repr) == want
+    assert [x[2] for x in sorted(runs[0])] != [x[2] for x in sorted(runs[2])]
+
+
 def same_ids(encoder, texts, library):
     ids, stops = encoder.encode(texts)
     for i, t in enumerate(texts):
