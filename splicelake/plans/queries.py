@@ -175,6 +175,74 @@ def ase_table(spark, sf_dir):
     return found.select("family", "canonical_path", "alternative_path", "ase", size("canonical_genes").alias("n_canonical"), size("alternative_genes").alias("n_alternative"), size("common_genes").alias("n_common"))
 
 
+_EXCLUSIVE = """
+tp AS (SELECT family, canonical_path, alternative_path, list_slice(string_split(canonical_path, '/'), 2, -2) AS cs,
+              unnest(list_slice(string_split(alternative_path, '/'), 2, -2)) AS a, generate_subscripts(list_slice(string_split(alternative_path, '/'), 2, -2), 1) AS ai FROM se WHERE ase NOT IN ('insertion', 'deletion')),
+tq AS (SELECT family, canonical_path, alternative_path, a, ai, unnest(cs) AS c, generate_subscripts(cs, 1) AS ci FROM tp),
+jd AS (SELECT pr.family, pr.a, pr.c, count(DISTINCT s2.trx) < 2 AS exclusive FROM (SELECT DISTINCT family, a, c FROM tq) pr
+       JOIN seg s1 ON s1.family = pr.family AND s1.node = pr.a LEFT JOIN seg s2 ON s2.family = pr.family AND s2.node = pr.c AND s2.trx = s1.trx GROUP BY 1, 2, 3),
+xp AS (SELECT tq.family, canonical_path, alternative_path, string_agg(tq.c, '/' ORDER BY ai, ci) AS exclusive_canonical, string_agg(tq.a, '/' ORDER BY ai, ci) AS exclusive_alternative
+       FROM tq JOIN jd ON tq.family = jd.family AND tq.a = jd.a AND tq.c = jd.c WHERE exclusive GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_EVENTS}, {_EXCLUSIVE}
+SELECT se.family, se.canonical_path, se.alternative_path, coalesce(exclusive_canonical, '') AS exclusive_canonical, coalesce(exclusive_alternative, '') AS exclusive_alternative
+FROM se LEFT JOIN xp ON se.family = xp.family AND se.canonical_path = xp.canonical_path AND se.alternative_path = xp.alternative_path""")
+def exclusive_pairs(spark, sf_dir):
+    s = stored_segments(spark, sf_dir)
+    found = paths.mutual_exclusivity(materialize(paths.supported_events(s), "events"), materialize(paths.path_strings(s), "paths"))
+    return found.select("family", "canonical_path", "alternative_path", "exclusive_canonical", "exclusive_alternative")
+
+
+def _residues(s: DataFrame) -> DataFrame:
+    """A made-up aligned row for each gene and node of segments, of one length for a node."""
+    text = F.translate(F.md5(F.concat_ws("-", F.col("gene").cast("string"), "node")), "0123456789abcdef", "ACDEFGHKLMNPR---")
+    width = (F.ascii(F.right("node", F.lit(1))) % 5 + 4).cast("int")
+    return s.select("family", "gene", "node").distinct().withColumn("aligned", F.left(text, width))
+
+
+_SIDES = _EVENTS + """,
+hd AS (SELECT x.family, x.sub, gene, count(DISTINCT trx) AS t FROM (SELECT family, canonical_path AS sub FROM se UNION SELECT family, alternative_path FROM se) x
+       JOIN pa ON x.family = pa.family AND contains('/' || path || '/', '/' || sub || '/') GROUP BY 1, 2, 3),
+wc AS (SELECT hd.family, sub, count(*) AS n_genes, CAST(sum(t) AS BIGINT) AS n_trx, CAST(sum((t * 1000000000000) // n) AS DOUBLE) / 1e12 / max(ng) AS weighted_conservation
+       FROM hd JOIN gt USING (family, gene) JOIN tot ON tot.family = hd.family GROUP BY 1, 2)"""
+
+_RESIDUES = """
+rs AS (SELECT DISTINCT family, gene, node, left(translate(md5(gene || '-' || node), '0123456789abcdef', 'ACDEFGHKLMNPR---'), ascii(right(node, 1)) % 5 + 4) AS aligned FROM seg),
+nd AS (SELECT family, sub, gene, unnest(list_slice(string_split(sub, '/'), 2, -2)) AS node, generate_subscripts(list_slice(string_split(sub, '/'), 2, -2), 1) AS pos FROM hd),
+ir AS (SELECT nd.family, sub, pos, nd.gene, aligned FROM nd JOIN rs ON rs.family = nd.family AND rs.gene = nd.gene AND rs.node = nd.node),
+gl AS (SELECT hd.family, hd.sub, hd.gene, coalesce(sum(len(replace(aligned, '-', ''))), 0) AS n FROM hd LEFT JOIN ir ON ir.family = hd.family AND ir.sub = hd.sub AND ir.gene = hd.gene GROUP BY 1, 2, 3),
+ln AS (SELECT family, sub, CAST(min(n) AS BIGINT) AS min_length, avg(n) AS mean_length, CAST(max(n) AS BIGINT) AS max_length FROM gl GROUP BY 1, 2),
+lt AS (SELECT family, sub, pos, c, r, count(*) AS n FROM (SELECT family, sub, pos, unnest(string_split(aligned, '')) AS r, generate_subscripts(string_split(aligned, ''), 1) AS c FROM ir) GROUP BY 1, 2, 3, 4, 5),
+tl AS (SELECT family, sub, pos, c, sum(n) AS all_rows, coalesce(max(n) FILTER (r = '-'), 0) AS gaps, sum(n) FILTER (r <> '-') AS total, max(n) FILTER (r <> '-') AS top FROM lt GROUP BY 1, 2, 3, 4),
+sg AS (SELECT tl.family, tl.sub, tl.pos, tl.c, any_value(gaps > top AND 2 * gaps >= all_rows) AS low,
+              CASE WHEN count(*) FILTER (n = top) = 1 AND 2 * any_value(top) >= any_value(total) THEN max(r) FILTER (n = top) ELSE 'X' END AS sign
+       FROM tl JOIN lt ON lt.family = tl.family AND lt.sub = tl.sub AND lt.pos = tl.pos AND lt.c = tl.c WHERE total IS NOT NULL AND r <> '-' GROUP BY 1, 2, 3, 4),
+cs AS (SELECT family, sub, string_agg(CASE WHEN low THEN lower(sign) ELSE sign END, '' ORDER BY pos, c) AS consensus FROM sg GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SIDES} SELECT family, sub, n_genes, n_trx, round(weighted_conservation, 6) AS weighted_conservation FROM wc")
+def subpath_conservation(spark, sf_dir):
+    s = stored_segments(spark, sf_dir)
+    held = paths.subpath_genes(materialize(paths.path_strings(s), "paths"), paths.subpaths(materialize(paths.supported_events(s), "events")), "sub")
+    return held.select("family", "sub", F.size("genes").cast("long").alias("n_genes"), "n_trx", *_r("weighted_conservation"))
+
+
+@query(f"""WITH {_SIDES}, {_EXCLUSIVE}, {_RESIDUES},
+fa AS (SELECT wc.family, wc.sub, wc.n_genes, weighted_conservation, min_length, mean_length, max_length, coalesce(consensus, '') AS consensus
+       FROM wc JOIN ln ON ln.family = wc.family AND ln.sub = wc.sub LEFT JOIN cs ON cs.family = wc.family AND cs.sub = wc.sub)
+SELECT se.family, se.canonical_path, se.alternative_path, ase, coalesce(exclusive_canonical, '') AS exclusive_canonical, coalesce(exclusive_alternative, '') AS exclusive_alternative,
+{', '.join(f"{x}.n_genes AS {n}_n_genes, round({x}.weighted_conservation, 6) AS {n}_weighted_conservation, {x}.min_length AS {n}_min_length, round({x}.mean_length, 6) AS {n}_mean_length, {x}.max_length AS {n}_max_length, {x}.consensus AS {n}_consensus" for x, n in (("fc", "canonical"), ("fd", "alternative")))}
+FROM se JOIN fa fc ON fc.family = se.family AND fc.sub = se.canonical_path JOIN fa fd ON fd.family = se.family AND fd.sub = se.alternative_path
+LEFT JOIN xp ON se.family = xp.family AND se.canonical_path = xp.canonical_path AND se.alternative_path = xp.alternative_path""")
+def event_report(spark, sf_dir):
+    s = stored_segments(spark, sf_dir)
+    found = paths.event_report(materialize(paths.supported_events(s), "events"), materialize(paths.path_strings(s), "paths"), materialize(_residues(s), "residues"))
+    sides = [c for n in ("canonical", "alternative") for c in (
+        F.size(f"{n}_genes").cast("long").alias(f"{n}_n_genes"), *_r(f"{n}_weighted_conservation"), f"{n}_min_length", *_r(f"{n}_mean_length"), f"{n}_max_length", f"{n}_consensus")]
+    return found.select("family", "canonical_path", "alternative_path", "ase", "exclusive_canonical", "exclusive_alternative", *sides)
+
+
 # intervals: parts of a supplier's lines as closed intervals
 
 
