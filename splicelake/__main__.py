@@ -33,7 +33,9 @@ def arguments() -> argparse.Namespace:
     p.add_argument("--gapextend", type=float, default=-1.0)
     p.add_argument("--padding", type=int, default=10, help="length of the padding between parts that no transcript joins")
     p.add_argument("--specieslist", default=None, help="species separated by commas")
-    p.add_argument("--canonical_criteria", default=",".join(paths.CRITERIA), help="columns that rank paths, all descending")
+    p.add_argument("--keepunknown", action="store_true", help="keep transcripts with unknown residues")
+    p.add_argument("--nomerge", action="store_true", help="do not join sub-exons that only appear together")
+    p.add_argument("--canonical_criteria", default=",".join(paths.REPORT_CRITERIA), help="columns that rank paths, all descending")
     return p.parse_args()
 
 
@@ -44,11 +46,14 @@ def main() -> None:
     species = tables.species_list(a.specieslist) if a.specieslist else None
     trx = tables.read_transcripts(spark, a.transcripts, species, a.maxtsl)
     rows = families.transcript_exons(trx.select("TranscriptID"), tables.read_exons(spark, a.exons), tables.read_exon_sequences(spark, a.sequences))
-    sub = materialize(families.sub_exons(rows.withColumn("family", F.lit("family"))), "sub_exons")
+    clean = families.clean_exons(rows.withColumn("family", F.lit("family")), not a.keepunknown)
+    sub = materialize(families.sub_exons(clean, merge=not a.nomerge), "sub_exons")
     clustered = materialize(families.cluster(sub, a.coverage, a.identity, a.minlen), "clustered")
     found = materialize(families.s_exons(clustered, families.star_aligner(None, a.gapopen, a.gapextend), "X" * a.padding), "s_exons")
     segments = materialize(families.segments(clustered, found), "segments")
-    events = paths.supported_events(segments, a.mingenes, a.mintranscripts, a.canonical_criteria.split(","))
+    levels = trx.groupBy(F.col("TranscriptID").alias("trx")).agg(F.min("TSL").cast("double").alias("tsl"))
+    events = families.report(segments, found, levels, a.mingenes, a.mintranscripts, a.canonical_criteria.split(","))
+    events = events.select(*(F.array_join(c, "/").alias(c) if kind.startswith("array") else F.col(c) for c, kind in events.dtypes))
     for name, df in (("s_exon_table", found), ("path_table", paths.scores(segments)), ("ases_table", events)):
         sinks.write_csv(df, f"{a.output}/{name}", "overwrite")
     nodes = paths.nodes(segments).select(F.xxhash64("node").alias("id"), F.col("node").alias("label"), "conservation", "transcript_fraction")
