@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import alignment, components, intervals, ordered, paths, relational, similarity
+from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity
 from ..sources import sinks, tables
 from ..storage import materialize, shared_folder
 
@@ -398,6 +398,67 @@ def max_identity_bound(spark, sf_dir):
     return _aligned(spark, sf_dir).select("p_partkey", F.round(S.max_identity(F.col("a"), F.col("b")), 6).alias("bound"))
 
 
+# exons to proteins: an order is a transcript of its customer, its lines are exons
+
+
+def _coding_exons(spark, sf_dir):
+    """Exons with declared phases; parts of some sizes have none, as at untranslated ends."""
+    x = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    x = ordered.ranks(x, ["l_orderkey"], list(LINE_ORDER), "ExonRank").select(F.col("o_custkey").alias("GeneID"), F.col("l_orderkey").alias("TranscriptID"), F.col("l_partkey").cast("string").alias("part"), "l_linenumber", "ExonRank", F.col("l_quantity").cast("long").alias("n"))
+    x = x.withColumn("seq", F.left(S.dna(F.col("part")), (F.col("n") % 29 + 1).cast("int"))).withColumn("n", F.length("seq").cast("long"))
+    x = ordered.with_phases(x, ["TranscriptID"], ["ExonRank"], "n").withColumnsRenamed({"start_phase": "StartPhase", "end_phase": "EndPhase"})
+    start = F.col("part").cast("long") * 100
+    unknown = F.col("part").cast("long") % 7 == 0
+    return x.select("GeneID", "TranscriptID", F.concat("part", F.lit("_"), F.col("l_linenumber").cast("string")).alias("ExonID"), F.lit(1).alias("Strand"), "ExonRank", start.alias("ExonRegionStart"), (start + F.col("n") - 1).alias("ExonRegionEnd"),
+                    F.lit(1).cast("long").alias("cDNA_CodingStart"), F.col("n").alias("cDNA_CodingEnd"), start.alias("GenomicCodingStart"), (start + F.col("n") - 1).alias("GenomicCodingEnd"),
+                    F.when(unknown, F.lit(-1)).otherwise(F.col("StartPhase")).cast("long").alias("StartPhase"), F.when(unknown, F.lit(-1)).otherwise(F.col("EndPhase")).cast("long").alias("EndPhase"), "seq")
+
+
+_CODING = f"""ln AS (SELECT o_custkey AS gene, l_orderkey AS trx, l_partkey AS part, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 AS rk,
+left(translate(md5(CAST(l_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(l_quantity AS INT) % 29 + 1) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+pz AS (SELECT *, CAST(sum(len(seq)) OVER (PARTITION BY trx ORDER BY rk) % 3 AS BIGINT) AS e0 FROM ln),
+px AS (SELECT *, coalesce(lag(e0) OVER (PARTITION BY trx ORDER BY rk), 0) AS s0 FROM pz),
+ex AS (SELECT gene, trx, part || '_' || line AS exon, part * 100 AS lo, part * 100 + len(seq) - 1 AS hi, rk, seq, CASE WHEN part % 7 = 0 THEN -1 ELSE s0 END AS sp, CASE WHEN part % 7 = 0 THEN -1 ELSE e0 END AS ep FROM px),
+ey AS (SELECT *, rk = 0 AS is_first, lead(rk) OVER w IS NULL AS is_last, coalesce(string_agg(seq, '') OVER (PARTITION BY trx ORDER BY rk ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before FROM ex WINDOW w AS (PARTITION BY trx ORDER BY rk)),
+ez AS (SELECT *, CASE WHEN ep IN (1, 2) THEN left(seq, greatest(len(seq) - ep, 0)) ELSE seq END AS head FROM ey),
+cd AS (SELECT *, CASE WHEN sp = -1 THEN seq WHEN sp = 0 THEN head WHEN is_first THEN substr(head, 4 - sp) WHEN len(before) >= sp THEN right(before, CAST(sp AS INT)) || head END AS cds FROM ez),
+pq AS (SELECT *, coalesce(cds IS NULL OR CASE WHEN is_last THEN ep IN (1, 2) WHEN is_first THEN sp IN (1, 2) ELSE false END OR len(cds) % 3 <> 0, true) AS incomplete FROM cd),
+pr AS (SELECT *, CASE WHEN incomplete THEN '' ELSE array_to_string(list_transform(regexp_extract_all(cds, '.{{3}}'), lambda c: coalesce({_CODONS}[c], 'X')), '') END AS protein FROM pq)"""
+
+
+@query(f"WITH {_CODING} SELECT trx, rk, exon, protein, incomplete FROM pr")
+def exon_proteins(spark, sf_dir):
+    x = exons.proteins(_coding_exons(spark, sf_dir))
+    return x.select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("ExonID").alias("exon"), "protein", "incomplete")
+
+
+@query(f"""WITH {_CODING}, lg AS (SELECT *, lag(ep) OVER (PARTITION BY trx ORDER BY rk) AS be FROM pr)
+SELECT trx, rk, coalesce((NOT is_first AND be = -1) OR (sp <> -1 AND CASE WHEN is_first THEN 0 ELSE be END <> -1 AND sp <> CASE WHEN is_first THEN 0 ELSE be END)
+ OR (ep <> -1 AND ep <> (CASE WHEN is_first THEN 0 ELSE be END + len(seq)) % 3) OR (NOT is_first AND sp = -1) OR (NOT is_last AND ep = -1), true) AS fault FROM lg""")
+def exon_phase_faults(spark, sf_dir):
+    return exons.phase_faults(_coding_exons(spark, sf_dir)).select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), "fault")
+
+
+@query(f"""WITH {_CODING}, whole AS (SELECT gene, trx, string_agg(protein, '' ORDER BY rk) AS p FROM pr GROUP BY 1, 2),
+ids AS (SELECT gene, p, list_sort(list(trx)) AS m FROM whole GROUP BY 1, 2)
+SELECT pr.trx, rk, exon, array_to_string(m, '/') AS cluster FROM ids JOIN pr ON pr.gene = ids.gene AND pr.trx = m[1]""")
+def equal_transcripts(spark, sf_dir):
+    x = exons.one_of_equal_transcripts(materialize(exons.proteins(_coding_exons(spark, sf_dir)), "exon_proteins"))
+    return x.select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("ExonID").alias("exon"), F.col("TranscriptIDCluster").alias("cluster"))
+
+
+@query(f"""WITH RECURSIVE {_CODING},
+ky AS (SELECT DISTINCT gene, exon, sp, ep, CASE WHEN sp <> -1 THEN lo END AS s, CASE WHEN ep <> -1 THEN hi END AS e, len(protein) AS n,
+  CASE WHEN ep IN (1, 2) THEN left(CASE WHEN sp IN (1, 2) THEN substr(protein, 2) ELSE protein END, greatest(len(CASE WHEN sp IN (1, 2) THEN substr(protein, 2) ELSE protein END) - 1, 0)) ELSE CASE WHEN sp IN (1, 2) THEN substr(protein, 2) ELSE protein END END AS p FROM pr),
+lk AS (SELECT DISTINCT a.gene, a.exon AS a, b.exon AS b FROM ky a JOIN ky b ON a.gene = b.gene AND a.sp = b.sp AND a.ep = b.ep AND a.s IS NOT DISTINCT FROM b.s AND a.e IS NOT DISTINCT FROM b.e AND a.n = b.n AND a.p = b.p),
+rc AS (SELECT gene, a, b FROM lk UNION SELECT rc.gene, rc.a, lk.b FROM rc JOIN lk ON rc.gene = lk.gene AND rc.b = lk.a),
+cl AS (SELECT gene, a AS exon, min(b) AS kept, string_agg(DISTINCT b, '/' ORDER BY b) AS cluster FROM rc GROUP BY 1, 2)
+SELECT trx, rk, kept, cluster FROM pr JOIN cl ON pr.gene = cl.gene AND pr.exon = cl.exon""")
+def identical_exons(spark, sf_dir):
+    x = exons.merge_identical(materialize(exons.proteins(_coding_exons(spark, sf_dir)), "exon_proteins"), "ExonID")
+    return x.select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("ExonID").alias("kept"), F.col("ExonIDCluster").alias("cluster"))
+
+
 # clusters, labels, relational operators
 
 
@@ -621,7 +682,7 @@ def alignment_blocks(spark, sf_dir):
     """Blocks of the alignments of brands: rows are whole words, segments of eight residues."""
     rows = _rows(spark, sf_dir).groupBy("p_brand", "aligned").agg(F.min("p_partkey").alias("row"))
     stops = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (i * 8).cast("long"))
-    return alignment.segments_of(rows.withColumn("breaks", stops), "p_brand", "row")
+    return alignment.segments_of(rows.withColumn("breaks", stops), "p_brand", "row").drop("gapped")
 
 
 @query("""WITH e AS (SELECT p_partkey, p_name, p_size, md5(p_name) AS m FROM part),
