@@ -34,6 +34,7 @@ def arguments() -> argparse.Namespace:
     p.add_argument("--padding", type=int, default=10, help="length of the padding between parts that no transcript joins")
     p.add_argument("--specieslist", default=None, help="species separated by commas")
     p.add_argument("--keepunknown", action="store_true", help="keep transcripts with unknown residues")
+    p.add_argument("--codes", action="store_true", help="write one-letter codes of segments, PIR records and coded paths too")
     p.add_argument("--nomerge", action="store_true", help="do not join sub-exons that only appear together")
     p.add_argument("--canonical_criteria", default=",".join(paths.REPORT_CRITERIA), help="columns that rank paths, all descending")
     return p.parse_args()
@@ -59,6 +60,8 @@ def main() -> None:
     nodes = paths.nodes(segments).select(F.xxhash64("node").alias("id"), F.col("node").alias("label"), "conservation", "transcript_fraction")
     edges = paths.edges(segments).select(F.xxhash64("src").alias("source"), F.xxhash64("dst").alias("target"), "conservation", "transcript_fraction", F.col("weighted_conservation").alias("transcript_weighted_conservation"))
     sinks.write_gml(nodes, edges, f"{a.output}/splice_graph")
+    if a.codes:
+        sinks.write_coded_paths(segments, families.residues(found), f"{a.output}/codes")
 
 
 if __name__ == "__main__":

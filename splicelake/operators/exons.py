@@ -76,6 +76,7 @@ def complete(rows: DataFrame, drop_unknown: bool = True) -> DataFrame:
     Transcripts go that hold an incomplete exon or a fault of phases, do not
     end in a stop, or (``drop_unknown``) hold an unknown residue.
     """
+    relational.require(rows, "protein", "incomplete", hint="Call proteins first.")
     kept = relational.drop_incomplete(rows, "TranscriptID", list(ORDER), "protein", "incomplete")
     if drop_unknown:
         kept = relational.drop_bad_quality(kept, "TranscriptID", "protein")

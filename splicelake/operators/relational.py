@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def require(df: DataFrame, *columns: str, hint: str = "") -> DataFrame:
+    """The same rows; an error names the columns that are not there."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no column {', '.join(missing)}. {hint}".strip())
+    return df
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """One row for each key: the first in a total order."""
     row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

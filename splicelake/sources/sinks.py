@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: The one-letter codes of segments, as code points in the order they
 #: are given out: ASCII without what paths, GML or PIR need, Latin, Greek and Han letters.
 _CODE_POINTS = (
@@ -94,5 +96,28 @@ def transcript_lines(df: DataFrame, gene: str, path: str) -> DataFrame:
     return df.groupBy(gene).agg(F.concat_ws(" ", F.first(gene), F.array_join(F.array_sort(F.collect_list(path)), " ")).alias("value"))
 
 
+def coded_paths(segments: DataFrame, residues: DataFrame, order: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Codes of segments (node, code), PIR records (gene, trx, value) and a line of coded paths for each gene (gene, value), of one family.
+
+    ``segments`` holds (gene, trx, node, rk), ``residues`` (gene, node,
+    aligned).  Codes are given out by first appearance in ``order``, by default
+    by gene, transcript and rank; a segment without residues has none in PIR.
+    """
+    codes = materialize(segment_codes(segments, "node", order or ["gene", "trx", "rk"]), "codes")
+    text = F.coalesce(F.replace("aligned", F.lit("-"), F.lit("")), F.lit("")).alias("seq")
+    rows = segments.join(codes, "node").join(residues.select("gene", "node", "aligned"), ["gene", "node"], "left").select("gene", "trx", "rk", "code", text)
+    rows = materialize(rows, "coded_rows")
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "code"))), lambda r: r["code"]), "").alias("path")
+    return codes, pir(rows, "gene", "trx", "rk", "code", "seq"), transcript_lines(rows.groupBy("gene", "trx").agg(path), "gene", "path")
+
+
+def write_coded_paths(segments: DataFrame, residues: DataFrame, folder: str) -> None:
+    """The three tables of ``coded_paths`` as folders of text: s_exons (tab-separated), pir and transcripts."""
+    codes, records, lines = coded_paths(segments, residues)
+    codes.write.csv(f"{folder}/s_exons", sep="\t", quote="")
+    records.select("value").write.text(f"{folder}/pir")
+    lines.select("value").write.text(f"{folder}/transcripts")
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -13,7 +13,8 @@ from pathlib import Path
 
 import pytest
 
-from splicelake.operators import paths
+from splicelake.operators import paths, relational
+from splicelake.sources import sinks
 from splicelake.storage import materialize
 
 SEGMENTS = "family string, gene string, trx string, node string, rk long"
@@ -102,6 +103,25 @@ def test_transcript_lengths(spark):
     assert {(x.trx, x.trx_length) for x in paths.transcript_lengths(s, r).collect()} == {("t", 3), ("u", 0)}
 
 
+def test_coded_paths(spark, tmp_path):
+    s = spark.createDataFrame([("f", "g", "t", "1_0", 0), ("f", "g", "t", "2_0", 1), ("f", "h", "u", "2_0", 0)], SEGMENTS)
+    r = spark.createDataFrame([("f", "g", "1_0", "AC-"), ("f", "g", "2_0", "D*"), ("f", "h", "2_0", "-E")], RESIDUES)
+    codes, records, lines = sinks.coded_paths(s, r)
+    a, b = sinks.ALPHABET[:2]
+    assert {(x.node, x.code) for x in codes.collect()} == {("1_0", a), ("2_0", b)}
+    assert {x.value for x in records.collect()} == {f">P1;g t {a}{b}\n{a}{a}{b}\nACD*", f">P1;h u {b}\n{b}\nE*"}
+    assert {x.value for x in lines.collect()} == {f"g {a}{b}", f"h {b}"}
+    sinks.write_coded_paths(s, r, str(tmp_path / "out"))
+    assert {x.value for x in spark.read.text(str(tmp_path / "out" / "s_exons")).collect()} == {f"1_0\t{a}", f"2_0\t{b}"}
+
+
+def test_required_columns(spark):
+    s = spark.createDataFrame([], SEGMENTS)
+    assert relational.require(s, "node", "rk") is s
+    with pytest.raises(ValueError, match="no column seq. Read it"):
+        relational.require(s, "node", "seq", hint="Read it.")
+
+
 def golden_runs():
     root = os.environ.get("GOLDEN_TABLES")
     return sorted(Path(root).rglob("ases_table.csv")) if root else []
@@ -135,6 +155,13 @@ def test_tables_of_real_families(spark):
         assert r.trx_length == int(w["TranscriptLength"]) or "/0_" in r.path  # segments of one sub-exon have no alignment file
         for mine, theirs in (("conservation", "Conservation"), ("transcript_fraction", "TranscriptFraction"), ("weighted_conservation", "TranscriptWeightedConservation")):
             assert near(r[f"min_{mine}"], w[f"Minimum{theirs}"]) and near(r[f"sum_{mine}"], w[f"{theirs}Sum"]) and near(r[f"mean_{mine}"], w[f"Mean{theirs}"])
+    for file in golden_runs():
+        told = file.parent / "phylosofs"
+        mine = s.where(s.family == file.parent.parent.name)
+        codes, _, lines = sinks.coded_paths(mine, residues.where(residues.family == file.parent.parent.name))
+        assert {f"{x.node}\t{x.code}" for x in codes.collect()} == set((told / "s_exons.tsv").read_text().splitlines())
+        sets = lambda text: sorted((v.split(" ")[0], *sorted(v.split(" ")[1:])) for v in text)
+        assert sets(x.value for x in lines.collect()) == sets((told / "transcripts.txt").read_text().splitlines())
     levels = spark.createDataFrame(known, "family string, trx string, trx_length long, tsl double")
     found = materialize(paths.supported_events(s, criteria=paths.REPORT_CRITERIA, known=levels), "events")
     got = paths.event_report(found, materialize(paths.path_strings(s), "paths"), residues).collect()
