@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licenses, mixing, neighbours, packing, quality, records, simhash, suffixes
+from . import html_text, language, licenses, mixing, neighbours, packing, pieces, quality, records, simhash, suffixes
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
+BYTES_TOKENIZER, PIECES_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,12 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(load(spark, sf_dir, "documents"), tokenizer_path(PIECES_MODEL), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_layout": op8_html_layout,
         "op9_simhash_components": op9_simhash_components,
         "op10_license_rules": op10_license_rules,
+        "op13_merge_rounds": op13_merge_rounds,
     }
 
 
