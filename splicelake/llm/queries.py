@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licenses, mixing, neighbours, packing, pieces, quality, records, simhash, suffixes
+from . import html_text, language, licenses, mixing, neighbours, packing, periodic, pieces, quality, records, simhash, suffixes
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,36 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents")).drop("spans")
 
 
+def plant_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which one document of ten is made periodic from a word on, as crc32 of its doc_id says.
+
+    A null doc_id plants nothing; a null text stays null.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g = F.floor(h / 10)
+
+    def periodic_words(x: Column) -> Column:
+        at = lambda i: F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.get(x["words"], at(i).cast("int"))), " ")
+
+    # a variable of a lambda is worked out once, not for every word
+    one = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.size(w).alias("n"), (g % F.size(w)).alias("a")))
+    one = F.transform(one, lambda x: F.struct(x["words"].alias("words"), x["n"].alias("n"), x["a"].alias("a"), (1 + F.floor((x["n"] - x["a"]) / (3 + g % 8))).alias("p")))
+    text = F.element_at(F.transform(one, periodic_words), 1)
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(plant_periods(load(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("first"), (-r["period"]).alias("least"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"), "collapsed")
+    start, length, period = -F.col("m.first"), F.col("m.length"), -F.col("m.least")
+    milli = F.expr("(1000 * m.length) div -m.least")
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode(load(spark, sf_dir, "documents"), tokenizer_path(PIECES_MODEL), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -79,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_layout": op8_html_layout,
         "op9_simhash_components": op9_simhash_components,
         "op10_license_rules": op10_license_rules,
+        "op12_synchronising_runs": op12_synchronising_runs,
         "op13_merge_rounds": op13_merge_rounds,
     }
 
