@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licenses, mixing, neighbours, packing, periodic, pieces, quality, records, simhash, suffixes
+from . import fragments, html_text, language, licenses, mixing, neighbours, packing, periodic, pieces, quality, records, simhash, suffixes
 from ._runtime import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.align(load(spark, sf_dir, "documents"), tokenizer_path(BYTES_TOKENIZER), tokenizer_path(PIECES_MODEL))
+
+
 def plant_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, in which one document of ten is made periodic from a word on, as crc32 of its doc_id says.
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_layout": op8_html_layout,
         "op9_simhash_components": op9_simhash_components,
         "op10_license_rules": op10_license_rules,
+        "op11_fragment_alignment": op11_fragment_alignment,
         "op12_synchronising_runs": op12_synchronising_runs,
         "op13_merge_rounds": op13_merge_rounds,
     }
