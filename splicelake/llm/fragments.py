@@ -43,7 +43,9 @@ FAN = 16
 #: Pairs of ids whose counts are sent to tasks at once, about.
 PAIRS = 1 << 20
 #: Cells of a generation of a worker's table, which holds two at most; pairs that a task counts before it passes them on.
-GENERATION, HELD = 150_000, 1 << 20
+GENERATION, HELD = 100_000, 1 << 20
+#: Bytes of texts, and of packed pairs, that a task works on at once.
+TEXT_BYTES, PAIR_BYTES = 2 << 20, 1 << 20
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -368,6 +370,12 @@ def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _open_row(row: str, doc_id: int | None, node: int, f: Fragment) -> dict:
     return {"row": row, "doc_id": doc_id, "node": node, "cut": f.cut, **{c: x.astype("<i8").tobytes() for c, x in zip(_TOKENS, [*f.prefix, *f.suffix])}}
 
@@ -401,7 +409,7 @@ def _read(docs: DataFrame, a_path: str, b_path: str, range_bytes: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
         for batch in batches:
-            for some in pieces_of(batch, "text"):
+            for some in pieces_of(batch, "text", TEXT_BYTES):
                 texts = some.column(1)
                 # a text with U+2581 comes back from B with a space in its place: it has no tokens
                 texts = pc.if_else(pc.fill_null(pc.match_substring(texts, pieces.SPACE), True), "", texts)
@@ -440,7 +448,7 @@ def _leaves(ranges: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 f, closed = range_fragment(own, r["data"], r["at"], (r["a_from"], r["a_to"]), (r["b_from"], r["b_to"]))
                 yield _batch([_open_row(r["row"], r["doc_id"], r["node"], f), *(_closed_row(r["row"], r["doc_id"], s) for s in closed)], _NODE)
 
@@ -455,7 +463,7 @@ def _step(nodes: DataFrame, a_path: str, b_path: str, fan: int) -> DataFrame:
         own = aligner(a_path, b_path)
         key, f, rows = None, Fragment(), []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if key != (r["row"], r["parent"]):
                     if key:
                         rows.append(_open_row(key[0], doc_id, key[1], f))
@@ -481,7 +489,7 @@ def _joined(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
         own = aligner(a_path, b_path)
         row, sums, held = None, [0, 0, 0], []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if r["row"] != row:
                     if row:
                         yield _batch([_text_row(doc_id, *sums, digest.hexdigest(), *own.counted(np.concatenate(held)))], _TEXT)
@@ -520,8 +528,8 @@ def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = np.zeros(0, kind), np.zeros(0, np.int64), []
-        for batch in batches:
-            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+        for some in (s for batch in batches for s in pieces_of(batch, "pairs", PAIR_BYTES)):
+            held.append(np.frombuffer(b"".join(some.column(0).to_pylist()), kind))
             if sum(map(len, held)) >= HELD:
                 keys, counts = _added(keys, counts, held)
                 held = []
@@ -582,8 +590,8 @@ def _looked_up(texts: DataFrame, table, kind: np.dtype) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = table.value
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for some in (s for batch in batches for s in pieces_of(batch, "pairs", PAIR_BYTES)):
+            columns = [some.column(some.schema.get_field_index(n)) for n in names]
             packed, times = columns[6].to_pylist(), columns[7].to_pylist()
             size = np.array([len(p) // kind.itemsize for p in packed], np.int64)
             pairs = np.frombuffer(b"".join(packed), kind)
