@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def with_phases(df: DataFrame, keys: Sequence[str], order: Sequence, length: str) -> DataFrame:
     """start_phase and end_phase: what is left over of whole codons after each row, and before it."""
@@ -44,6 +46,27 @@ def ranks(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rank
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """As ``ranks``, for groups of any size: 0-based places in a total order, without a group in one task.
+
+    Rows are range-partitioned by keys and order and written with their places
+    in the partition; what lies before a partition's rows of a key is summed
+    over a row for each partition and key.  Rows that tie in ``order`` get any
+    of their places.  Null keys are a group of their own.
+    """
+    at = F.monotonically_increasing_id()
+    by = [*map(F.col, keys), *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"__part": F.shiftright(at, 33), "__place": at})
+    placed = materialize(placed, "numbered")
+    parts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return placed.join(parts, same).withColumn(name, F.col("__before") + F.col("__place")).select(*df.columns, name)
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence, breaks: Column, name: str = "island") -> DataFrame:
     """Number runs of rows: a run begins at the first row and where ``breaks`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order)

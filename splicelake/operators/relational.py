@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def require(df: DataFrame, *columns: str, hint: str = "") -> DataFrame:
     """The same rows; an error names the columns that are not there."""
@@ -95,9 +97,9 @@ def best_cluster(hits: DataFrame, query: str, cluster: str, coverage: str, ident
 
 
 def first_seen_index(df: DataFrame, key: str, order: Sequence) -> DataFrame:
-    """A dense 0-based number for each key by first appearance."""
+    """A dense 0-based number for each key by first appearance, numbered in parallel."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("__at"))
-    return firsts.select(key, (F.row_number().over(Window.orderBy("__at", key)) - 1).alias("index"))
+    return numbered(firsts, [], [F.col("__at"), F.col(key)], "index").select(key, F.col("index").cast("int").alias("index"))
 
 
 def order_by_list(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

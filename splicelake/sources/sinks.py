@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-#: The one-letter codes of segments, as code points in the order they
-#: are given out: ASCII without what paths, GML or PIR need, Latin, Greek and Han letters.
-_CODE_POINTS = (
-    "25 28-29 2B 30-3A 3C-3D 3F 41-5A 5E 60-7E BC-17F 1A0-1A1 1AF-1B0 1C4-1DC 1F0-21B "
-    "393-394 398 39B 39E 3A0 3A3 3A6 3A8-3CE 3D1-3D3 3D6 3E2-3E8 "
-    "3400-340A 3427 342A-342D 3431 3434-3436 37A5-37AD 41C2"
+#: The published list of one-letter codes of segments, in the order they are given out.
+ALPHABET = (
+    "%()+0123456789:<=?ABCDEFGHIJKLMNOPQRSTUVWXYZ^`abcdefghijklmn"
+    "opqrstuvwxyz{|}~¼½¾¿ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæç"
+    "èéêëìíîïðñòóôõö÷øùúûüýþÿĀāĂăĄąĆćĈĉĊċČčĎďĐđĒēĔĕĖėĘęĚěĜĝĞğĠġĢģ"
+    "ĤĥĦħĨĩĪīĬĭĮįİıĲĳĴĵĶķĸĹĺĻļĽľĿŀŁłŃńŅņŇňŉŊŋŌōŎŏŐőŒœŔŕŖŗŘřŚśŜŝŞş"
+    "ŠšŢţŤťŦŧŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽžſƠơƯưǄǅǆǇǈǉǊǋǌǍǎǏǐǑǒǓǔǕǖǗǘǙǚǛ"
+    "ǜǰǱǲǳǴǵǶǷǸǹǺǻǼǽǾǿȀȁȂȃȄȅȆȇȈȉȊȋȌȍȎȏȐȑȒȓȔȕȖȗȘșȚțΓΔΘΛΞΠΣΦΨΩΪΫάέή"
+    "ίΰαβγδεζηθικλμνξοπρςστυφχψωϊϋόύώϑϒϓϖϢϣϤϥϦϧϨ㐀㐁㐂㐃㐄㐅㐆㐇㐈㐉㐊㐧㐪㐫㐬㐭㐱"
+    "㐴㐵㐶㞥㞦㞧㞨㞩㞪㞫㞬㞭䇂"
 )
-ALPHABET = "".join(chr(c) for part in _CODE_POINTS.split() for c in range(int(part.split("-")[0], 16), int(part.split("-")[-1], 16) + 1))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error", missing: str = "NA") -> None:
