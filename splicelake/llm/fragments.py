@@ -45,7 +45,7 @@ PAIRS = 1 << 20
 #: Cells of a generation of a worker's table, which holds two at most; pairs that a task counts before it passes them on.
 GENERATION, HELD = 100_000, 1 << 20
 #: Bytes of texts, and of packed pairs, that a task works on at once.
-TEXT_BYTES, PAIR_BYTES = 2 << 20, 1 << 20
+TEXT_BYTES, PAIR_BYTES = 1 << 20, 1 << 20
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -144,8 +144,8 @@ class Aligner:
         self.kind = np.dtype("<u4" if int(self.shift) + int(size).bit_length() <= 32 else "<u8")
         self.many = max(size, self.b.size)
         self.spelled = pa.array([f"{mark}{i}".encode() for mark in ";,|" for i in range(self.many)], pa.binary())
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def a_ids(self, cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A's ids of cells end to end, and the byte at which each token ends."""
@@ -196,8 +196,8 @@ class Aligner:
         text, _ = self.written(t, ends)
         return Summary(closed.start, len(t.a), len(t.b), len(ends), b"".join(text.to_pylist()), self.links(t, closed.start)[0])
 
-    def learn(self, cells: list[bytes]) -> list[tuple]:
-        """Numbers of A's and B's tokens and of groups, the groups as text and the packed pairs of each cell."""
+    def learn(self, cells: list[bytes]) -> list[bytes]:
+        """What is known of each cell, packed: numbers of A's and B's tokens, of groups and of bytes of their text, the text, the pairs."""
         if not cells:
             return []
         t = self.tokens(cells)
@@ -209,14 +209,14 @@ class Aligner:
         pairs, n = self.links(t, 0)
         groups = np.searchsorted(ends, bounds, "right")
         a_at, b_at = np.searchsorted(t.a_ends, bounds, "right"), np.searchsorted(t.b_ends, bounds, "right")
-        data = memoryview(text.buffers()[2])
         place = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1][np.searchsorted(group, groups)]
         link = np.concatenate(([0], np.cumsum(n)))[a_at] * self.kind.itemsize
-        packed = pairs.tobytes()
-        columns = (np.diff(a_at), np.diff(b_at), np.diff(groups), place[:-1], place[1:], link[:-1], link[1:])
-        return [(i, j, k, bytes(data[p:q]), packed[x:y]) for i, j, k, p, q, x, y in zip(*(c.tolist() for c in columns))]
+        heads = np.stack([np.diff(x) for x in (a_at, b_at, groups, place)], axis=1).astype("<u4").tobytes()
+        data, packed = bytes(text.buffers()[2]), pairs.tobytes()
+        place, link = place.tolist(), link.tolist()
+        return [heads[16 * k : 16 * k + 16] + data[place[k] : place[k + 1]] + packed[link[k] : link[k + 1]] for k in range(len(cells))]
 
-    def known(self, cells: list[bytes]) -> list[tuple]:
+    def known(self, cells: list[bytes]) -> list[bytes]:
         """As ``learn`` for distinct cells, through the two generations of the table."""
         young, old = self.young, self.old
         found = list(map(young.get, cells))
@@ -241,20 +241,22 @@ class Aligner:
             begin[0] = True
         offsets = np.append(np.flatnonzero(begin), len(flat)).astype(np.int32)
         cells = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-        n_a, n_b, n_groups, texts, packed = zip(*found) if (found := self.known(cells.dictionary.to_pylist())) else [()] * 5
+        found = self.known(cells.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        at, blob = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.uint8)
+        head = blob[(at[:, None] + np.arange(16)).ravel()].view("<u4").reshape(-1, 4).astype(np.int64)
         number = cells.indices.to_numpy()
         bounds = np.concatenate(([0], np.searchsorted(offsets, ends)))
-        sums = [np.diff(np.concatenate(([0], np.cumsum(np.array(n, np.int64)[number])))[bounds]) for n in (n_a, n_b, n_groups)]
-        text = pc.take(pa.array(texts, pa.binary()), cells.indices)
-        data = memoryview(text.buffers()[2] or b"")
-        place = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1][bounds] if len(text) else np.zeros(len(bounds), int)
-        groups = [data[a:b] for a, b in zip(place.tolist(), place[1:].tolist())]
-        pairs = np.frombuffer(b"".join(packed), self.kind)
-        size = np.array(list(map(len, packed)), np.int64) // self.kind.itemsize
-        at, n = (np.cumsum(size) - size)[number], size[number]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        every = pairs[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])]
-        return *sums, groups, every, np.repeat(np.arange(len(ends)), np.diff(upto[bounds]))
+        sums = [np.diff(np.concatenate(([0], np.cumsum(head[number, k])))[bounds]) for k in range(3)]
+        data, place = _gathered(blob, at + 16, head[:, 3])
+        texts = pc.take(pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data)]), cells.indices)
+        data, place = memoryview(texts.buffers()[2] or b""), np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1][bounds].tolist() if len(texts) else [0] * len(bounds)
+        groups = [data[a:b] for a, b in zip(place, place[1:])]
+        width = self.kind.itemsize
+        pairs, _ = _gathered(blob, at + 16 + head[:, 3], size - 16 - head[:, 3])
+        n = (size - 16 - head[:, 3]) // width
+        every, upto = _gathered(pairs.view(self.kind), (np.cumsum(n) - n)[number], n[number])
+        return *sums, groups, every, np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(upto[bounds]))
 
     def counted(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(pairs, return_counts=True)
@@ -275,6 +277,14 @@ def _space(cell: bytes) -> bool:
     return _KIND[last[-1]] == 0 or (last[-1] >= 128 and last.decode("utf-8", "replace")[-1].isspace())
 
 
+def _gathered(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of n values from each place on, end to end, and where each begins (and the end)."""
+    upto = np.concatenate(([0], np.cumsum(n)))
+    place = np.arange(upto[-1], dtype=np.int64)
+    place += np.repeat(at - upto[:-1], n)
+    return values[place], upto
+
+
 def cell_heads(flat: np.ndarray) -> np.ndarray:
     """Whether each byte is a space after what is surely not white space."""
     head = flat == 32
