@@ -36,6 +36,10 @@ def arguments() -> argparse.Namespace:
     p.add_argument("--keepunknown", action="store_true", help="keep transcripts with unknown residues")
     p.add_argument("--codes", action="store_true", help="write one-letter codes of segments, PIR records and coded paths too")
     p.add_argument("--nomerge", action="store_true", help="do not join sub-exons that only appear together")
+    p.add_argument("--keepsingle", action="store_true", help="keep sub-exons that only align with gaps")
+    p.add_argument("--norescue", action="store_true", help="leave sub-exons that were taken out of a cluster alone")
+    p.add_argument("--nomovements", action="store_true", help="do not move loose ends of sub-exons within alignments")
+    p.add_argument("--nodisintegration", action="store_true", help="keep segments of one residue")
     p.add_argument("--canonical_criteria", default=",".join(paths.REPORT_CRITERIA), help="columns that rank paths, all descending")
     return p.parse_args()
 
@@ -50,7 +54,9 @@ def main() -> None:
     clean = families.clean_exons(rows.withColumn("family", F.lit("family")), not a.keepunknown)
     sub = materialize(families.sub_exons(clean, merge=not a.nomerge), "sub_exons")
     clustered = materialize(families.cluster(sub, a.coverage, a.identity, a.minlen), "clustered")
-    found = materialize(families.s_exons(clustered, families.star_aligner(None, a.gapopen, a.gapextend), "X" * a.padding), "s_exons")
+    options = {"keep_single": a.keepsingle, "rescue": not a.norescue, "movements": not a.nomovements, "disintegration": not a.nodisintegration}
+    found, clustered = families.s_exons(clustered, families.star_aligner(None, a.gapopen, a.gapextend), "X" * a.padding, a.identity, a.minlen, **options)
+    found = materialize(families.segment_places(found, clustered), "s_exons")
     segments = materialize(families.segments(clustered, found), "segments")
     levels = trx.groupBy(F.col("TranscriptID").alias("trx")).agg(F.min("TSL").cast("double").alias("tsl"))
     events = families.report(segments, found, levels, a.mingenes, a.mintranscripts, a.canonical_criteria.split(","))

@@ -47,3 +47,21 @@ def merged(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFram
     new = F.coalesce((F.col("lo") != F.lag("hi").over(w) + 1).cast("int"), F.lit(1))
     runs = covered.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run")
+
+
+def close_ranges(df: DataFrame, keys: list[str], start: str, stop: str, margin: int = 2) -> DataFrame:
+    """Rows with cluster, first and stop: half-open ranges whose surroundings of ``margin`` meet are one cluster, transitively.
+
+    A sweep over the ranges of a key by their left ends: a range begins a
+    cluster where it lies beyond the farthest surroundings so far.  Clusters are
+    numbered from the left; ``first`` and ``stop`` are the whole of a cluster.
+    """
+    low = F.greatest(F.col(start) - margin, F.lit(0))
+    w = Window.partitionBy(*keys).orderBy("__low", "__high")
+    x = df.withColumns({"__low": low, "__high": F.col(stop) + margin})
+    reach = F.max("__high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("__new", F.when(F.col("__low") < reach, 0).otherwise(1))
+    x = x.withColumn("cluster", (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
+    whole = Window.partitionBy(*keys, "cluster")
+    x = x.withColumns({"first": F.min(start).over(whole), f"__{stop}": F.max(stop).over(whole)})
+    return x.select(*df.columns, "cluster", "first", F.col(f"__{stop}").alias("stop"))
