@@ -43,7 +43,7 @@ FAN = 16
 #: Pairs of ids whose counts are sent to tasks at once, about.
 PAIRS = 1 << 20
 #: Cells of a generation of a worker's table, which holds two at most; pairs that a task counts before it passes them on.
-GENERATION, HELD = 100_000, 1 << 20
+GENERATION, HELD = 60_000, 1 << 20
 #: Bytes of texts, and of packed pairs, that a task works on at once.
 TEXT_BYTES, PAIR_BYTES = 1 << 20, 1 << 20
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}

@@ -35,7 +35,9 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 #: Style rules with a simple selector: a tag, a class or an id, or a list of them.
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_BRACE = re.compile(r"[{};]")
+#: At-rules whose rules hold on a screen of any size.
+_HOLDS = re.compile(r"@(?:supports|layer|container|scope)\b|@media\s+(?:[^,]*,\s*)*(?:only\s+)?(?:all|screen)\s*(?:,|$)", re.I)
 _SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -52,6 +54,12 @@ RAW_TEXT = _set("title textarea")
 HIDDEN = _set("head title script style template datalist iframe noembed noframes audio video canvas annotation annotation-xml metadata desc defs")
 #: The standard's limits of spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Layout that would let a text grow beyond its page is left out, never text:
+#: columns are at most so wide (longer cells push what follows), a table whose
+#: cells would need more spaces than so many for each visible character and
+#: each line has two spaces between cells, deeper tables are plain blocks,
+#: lines are indented so far at most, and so many cells of a table reach down.
+WIDEST, SPACES, LINE_SPACES, MOST_NESTED, MOST_INDENT, MOST_OPEN = 80, 4, 40, 4, 40, 1000
 #: Blocks with an empty line around them, and blocks on a line of their own.
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table xmp menu")
 BLOCKS = SPACED | _set("html body div section article aside header footer nav main address li dt dd figcaption form fieldset legend details summary dialog hr center caption thead tbody tfoot tr td th option optgroup hgroup search")
@@ -78,9 +86,9 @@ SCOPE = _set("table td th caption html")
 class Buffer:
     """Text under construction: lines, pending breaks and the folding of white space."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self) -> None:
         self.parts: list[str] = []
-        self.breaks, self.space, self.indent = 0, False, indent
+        self.breaks, self.space, self.indent = 0, False, 0
         self.marker = ""
 
     def block(self, breaks: int) -> None:
@@ -103,8 +111,7 @@ class Buffer:
             fresh = not self.parts
         if fresh:
             marker, self.marker = self.marker, ""
-            cut = len(self.indent) - len(marker)
-            self.parts.append(self.indent[: max(0, cut)] + marker if marker else self.indent)
+            self.parts.append(" " * min(max(0, self.indent - len(marker)), MOST_INDENT) + marker)
             self.space = False
 
     def text(self, text: str) -> None:
@@ -158,7 +165,7 @@ class Table:
                     at = max(at, block[1])
                     block = next(left, None)
                 cells.append((at, at + columns, text.split("\n")))
-                if down > 1:
+                if down > 1 and len(taken) + len(below) < MOST_OPEN:
                     below.append((at, at + columns, down))
                 at += columns
             rows.append(cells)
@@ -173,22 +180,51 @@ class Table:
         for cells in grid:
             for a, b, lines in cells:
                 if b == a + 1:
-                    widths[a] = max(widths[a], *map(len, lines))
+                    widths[a] = min(WIDEST, max(widths[a], *map(len, lines)))
         for cells in grid:  # what spans columns widens the last of them
             for a, b, lines in cells:
                 if b > a + 1:
-                    widths[b - 1] += max(0, max(map(len, lines)) - sum(widths[a:b]) - 2 * (b - a - 1))
+                    widths[b - 1] = min(WIDEST, widths[b - 1] + max(0, max(map(len, lines)) - sum(widths[a:b]) - 2 * (b - a - 1)))
         begins = list(accumulate((w + 2 for w in widths), initial=0))
-        out = []
+        rows: list[list[tuple[int, str]]] = []  # lines as texts with the spaces before each
+        spaces = visible = 0
         for cells in grid:
             for i in range(max((len(lines) for _, _, lines in cells), default=0)):
                 line, reach = [], 0
                 for a, _, lines in cells:
                     if i < len(lines) and lines[i]:
-                        line += [" " * (begins[a] - reach), lines[i]]
-                        reach = max(begins[a], reach) + len(lines[i])
-                out.append("".join(line).rstrip())
-        return "\n".join(out)
+                        gap = max(begins[a] - reach, 2 if reach else 0)
+                        line.append((gap, lines[i]))
+                        reach += gap + len(lines[i])
+                        spaces, visible = spaces + gap, visible + len(lines[i]) - lines[i].count(" ")
+                rows.append(line)
+        if spaces > SPACES * visible + LINE_SPACES * len(rows):
+            rows = [[(2 if k else 0, text) for k, (_, text) in enumerate(line)] for line in rows]
+        return "\n".join("".join([x for gap, text in line for x in (" " * gap, text)]).rstrip() for line in rows)
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules of a style sheet that hold on screens; those of other at-rules are passed over."""
+    sheet = _COMMENT.sub("", sheet)
+    at, open_, rule = 0, [True], None
+    for m in _BRACE.finditer(sheet):
+        if m[0] == ";":
+            at = at if rule is not None else m.end()
+        elif m[0] == "{":
+            prelude = sheet[at : m.start()].strip()
+            if rule is None and prelude.startswith("@"):
+                open_.append(open_[-1] and bool(_HOLDS.match(prelude)))
+            elif rule is None:
+                rule = prelude
+            at = m.end()
+        else:
+            if rule is not None:
+                if open_[-1]:
+                    yield rule, sheet[at : m.start()]
+                rule = None
+            elif len(open_) > 1:
+                open_.pop()
+            at = m.end()
 
 
 class Renderer:
@@ -201,12 +237,16 @@ class Renderer:
         self.lists: list[list] = []
         self.tables: list[Table] = []
         self.title: str | None = None
+        #: Depth of hiding at each closed ``details`` that is open as an element.
+        self.folds: list[int] = []
+        #: Elements of tables beyond MOST_NESTED that are laid out as blocks.
+        self.deep = 0
         #: Declarations of simple selectors that hide or show.
         self.styles: dict[str, str] = {}
 
     def style(self, sheet: str) -> None:
         """Take the rules of a style element that hide or show tags, classes or ids."""
-        for selectors, body in _RULE.findall(_COMMENT.sub("", sheet)):
+        for selectors, body in _rules(sheet):
             if _GONE.search(body) or _VISIBILITY.search(body):
                 for name in selectors.split(","):
                     if _SIMPLE.fullmatch(name := name.strip()):
@@ -220,13 +260,18 @@ class Renderer:
         return ";".join([*(self.styles[n] for n in names if n in self.styles), attrs.get("style", "")])
 
     def open(self, tag: str, attrs: dict[str, str]) -> int:
-        """Begin an element: 1 if it is taken out with all it holds, 2 if it sets visibility, else 0.
+        """Begin an element: 1 if it is taken out with all it holds, 2 if it sets visibility, 3 if only its summary shows, 4 for that summary, else 0.
 
         What is invisible keeps its place in the layout but not its text, and
         elements within may be visible again.
         """
         declared = self._declared(tag, attrs)
         hides = tag in HIDDEN or "hidden" in attrs or bool(_GONE.search(declared)) or (tag == "dialog" and "open" not in attrs)
+        if tag == "summary" and not hides and self.folds and self.hidden == self.folds[-1]:
+            self.hidden -= 1
+            self.folds[-1] = -1  # only the first one
+            self._layout(tag, attrs)
+            return 4
         if self.hidden or hides:
             self.hidden += hides
             return int(hides)
@@ -234,6 +279,10 @@ class Renderer:
         if seen:
             self.visible.append(seen[-1].lower() == "visible")
         self._layout(tag, attrs)
+        if tag == "details" and "open" not in attrs and not seen:
+            self.hidden += 1
+            self.folds.append(self.hidden)
+            return 3
         return 2 * bool(seen)
 
     def _layout(self, tag: str, attrs: dict[str, str]) -> None:
@@ -249,6 +298,11 @@ class Renderer:
                 buffer.text(attrs["alt"])
         elif tag == "input" and self.visible[-1] and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
             buffer.text(f" {attrs['value']} ")
+        elif tag == "table" and len(self.tables) >= MOST_NESTED:
+            self.deep += 1
+            buffer.block(1)
+        elif self.deep and tag in ("td", "th", "tr"):
+            buffer.block(1)
         elif tag in ("td", "th"):
             if self.tables:
                 if not self.tables[-1].rows:
@@ -276,27 +330,37 @@ class Renderer:
                 kind[1] += 1
             else:
                 marker = "- "
-            buffer.indent += " " * len(marker)
+            buffer.indent += len(marker)
             buffer.marker = marker
             self.lists.append(["li", len(marker)])
         elif tag in ("blockquote", "dd"):
             buffer.block(2 if tag == "blockquote" else 1)
-            buffer.indent += "  "
+            buffer.indent += 2
         elif tag in BLOCKS:
             buffer.block(2 if tag in SPACED else 1)
         if tag in ("pre", "xmp", "textarea"):
             self.pre += 1
 
     def close(self, tag: str, kind: int) -> None:
+        if kind == 3:
+            self.folds.pop()
+            self.hidden -= 1
         if self.hidden:
             self.hidden -= kind == 1
             return
         if kind == 2:
             self.visible.pop()
+        self._end(tag)
+        self.hidden += kind == 4
+
+    def _end(self, tag: str) -> None:
         buffer = self.buffers[-1]
         if tag in ("pre", "xmp", "textarea"):
             self.pre -= 1
-        if tag in ("td", "th"):
+        if self.deep and tag in ("td", "th", "tr", "table"):
+            self.deep -= tag == "table"
+            buffer.block(1)
+        elif tag in ("td", "th"):
             if self.tables:
                 self.buffers.pop()
                 row = self.tables[-1].rows[-1]
@@ -310,11 +374,11 @@ class Renderer:
             self.lists.pop()
             buffer.block(1 if self.lists else 2)
         elif tag == "li":
-            buffer.indent = buffer.indent[: len(buffer.indent) - self.lists.pop()[1]]
+            buffer.indent -= self.lists.pop()[1]
             buffer.marker = ""
             buffer.block(1)
         elif tag in ("blockquote", "dd"):
-            buffer.indent = buffer.indent[:-2]
+            buffer.indent -= 2
             buffer.block(2 if tag == "blockquote" else 1)
         elif tag in BLOCKS and tag != "tr":
             buffer.block(2 if tag in SPACED else 1)
@@ -455,9 +519,11 @@ def render(pages: DataFrame) -> DataFrame:
     A null page is an empty one: empty title and text.  Repeated rows are
     rendered each alone; markup that never closes is closed at the end; an
     empty table gives no rows.  Scripts do not run, so that ``noscript`` and the
-    content of ``object`` show; style elements hide what comes after them, by
-    tag, class or id.  Time grows with the length of a page, however deep its
-    elements lie; nested tables are laid out once a level.
+    content of ``object`` show; of a closed ``details`` the summary shows; style
+    elements hide what comes after them, by tag, class or id, where their
+    at-rules hold on any screen.  Texts and time grow with the length of a page,
+    however deep its elements lie and however wide its cells are: see WIDEST and
+    what follows it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

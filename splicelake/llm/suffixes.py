@@ -417,7 +417,8 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
     name, scratch = f"suffix_units_{uuid.uuid4().hex}", new_path(spark, "suffix_sort")
     keyed = docs.withColumn("__sa_uid", F.monotonically_increasing_id()).withColumn("__sa_unit", F.pmod(F.xxhash64("__sa_uid"), F.lit(units)).cast("int"))
     buckets = min(units, MOST_BUCKETS)
-    keyed.repartition(buckets, "__sa_unit").write.bucketBy(buckets, "__sa_unit").format("parquet").saveAsTable(name)
+    folder = new_path(spark, "suffix_units")  # a path of its own: the warehouse may be a folder of the driver's machine
+    keyed.repartition(buckets, "__sa_unit").write.bucketBy(buckets, "__sa_unit").format("parquet").option("path", folder).saveAsTable(name)
     table = spark.table(name)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
