@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity
+from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity, trees
 from ..sources import sinks, tables
 from ..storage import materialize, shared_folder
+from . import families
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
 
@@ -728,7 +729,8 @@ def merge_clusters(spark, sf_dir):
 
 def _peptides(spark, sf_dir):
     p = load(spark, sf_dir, "part")
-    return p.select("p_brand", "p_partkey", S.translate_codons(S.dna(F.col("p_name"))).alias("seq"))
+    dna = S.dna(F.col("p_name"))
+    return p.select("p_brand", "p_partkey", S.translate_codons(F.left(dna, F.length(dna) - F.length(dna) % 3)).alias("seq"))
 
 
 @query()
@@ -897,6 +899,68 @@ def fasta_round_trip(spark, sf_dir):
     return tables.read_fasta(spark, path).select(F.col("header").alias("id"), "seq")
 
 
+_CATERPILLAR = """l AS (SELECT l_orderkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_partkey FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_CATERPILLAR}, k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS j, count(*) OVER (PARTITION BY l_orderkey) AS m,
+i - coalesce(lag(i) OVER (PARTITION BY l_orderkey ORDER BY i), 0) AS d FROM l WHERE l_partkey % 3 <> 0),
+f AS (SELECT l_orderkey, j, m, d, 'S' || l_suppkey || CASE WHEN m > 1 THEN ':' || (q + d) ELSE '' END AS t FROM k WHERE j = m
+UNION ALL SELECT k.l_orderkey, k.j, k.m, k.d, '(S' || k.l_suppkey || ':' || k.q || ',' || f.t || ')' || CASE WHEN k.j > 1 THEN ':' || k.d ELSE '' END FROM f JOIN k ON k.l_orderkey = f.l_orderkey AND k.j = f.j - 1)
+SELECT l_orderkey, t || ';' AS newick FROM f WHERE j = 1""")
+def pruned_trees(spark, sf_dir):
+    """A tree of the lines of each order, cut down to some of them under their suppliers' names."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.row_number().over(w).alias("i"))
+    leaves = F.array_sort(F.collect_list(F.struct("i", F.concat_ws(":", F.concat(F.lit("L"), "i"), "q").alias("t"))))
+    texts = lines.groupBy("l_orderkey").agg(leaves.alias("v"))
+    n = F.size("v")
+    text = F.concat(F.lit("("), F.array_join(F.transform("v", lambda x: x["t"]), ",("), F.repeat(F.lit("):1"), n), F.lit(";"))
+    nodes = trees.read_newick(texts.select("l_orderkey", text.alias("newick")), "l_orderkey", "newick")
+    keep = lines.where("l_partkey % 3 <> 0").select("l_orderkey", F.concat(F.lit("L"), "i").alias("name"), F.concat(F.lit("S"), "l_suppkey").alias("label"))
+    return trees.newick(materialize(trees.prune(materialize(nodes, "nodes"), "l_orderkey", keep), "pruned"), "l_orderkey")
+
+
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_partkey % 97 AS a, l_partkey % 97 + 1 + CAST(l_quantity AS BIGINT) % 9 AS b FROM lineitem),
+e AS (SELECT x.l_orderkey, x.a AS xa, x.b AS xb, y.a AS ya, y.b AS yb FROM (SELECT DISTINCT l_orderkey, a, b FROM r) x JOIN (SELECT DISTINCT l_orderkey, a, b FROM r) y ON x.l_orderkey = y.l_orderkey AND greatest(x.a - 2, 0) < y.b + 2 AND greatest(y.a - 2, 0) < x.b + 2),
+c AS (SELECT l_orderkey, xa, xb, ya, yb FROM e UNION SELECT c.l_orderkey, c.xa, c.xb, e.ya, e.yb FROM c JOIN e ON c.l_orderkey = e.l_orderkey AND c.ya = e.xa AND c.yb = e.xb),
+g AS (SELECT l_orderkey, xa, xb, min(ya) AS first, max(yb) AS stop FROM c GROUP BY 1, 2, 3)
+SELECT r.l_orderkey, l_linenumber, l_partkey, dense_rank() OVER (PARTITION BY r.l_orderkey ORDER BY first) - 1 AS cluster, CAST(first AS BIGINT) AS first, CAST(stop AS BIGINT) AS stop FROM r JOIN g ON g.l_orderkey = r.l_orderkey AND g.xa = r.a AND g.xb = r.b""")
+def range_clusters(spark, sf_dir):
+    """Ranges of the lines of each order: those that come within two places of each other are one cluster."""
+    a = F.col("l_partkey") % 97
+    x = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), (a + 1 + F.col("l_quantity").cast("long") % 9).alias("b"))
+    return intervals.close_ranges(x, ["l_orderkey"], "a", "b", 2).select("l_orderkey", "l_linenumber", "l_partkey", "cluster", F.col("first").cast("long").alias("first"), F.col("stop").cast("long").alias("stop"))
+
+
+def _sub_exons_of_brands(spark, sf_dir):
+    """Parts as sub-exons: a brand is a family, parts of like sizes a gene with one transcript, in the order of part keys."""
+    p = materialize(_peptides(spark, sf_dir).where(F.length(F.replace("seq", F.lit("*"), F.lit(""))) > 0), "peptides")
+    found = similarity.cluster_families(p, "p_brand", "p_partkey", "seq", 50.0, 30.0).select("p_brand", "seq", F.col("cluster").alias("Cluster"))
+    x = p.join(found, ["p_brand", "seq"]).join(load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("g"), F.col("p_size") % 8).alias("gene")), "p_partkey")
+    x = x.select(F.col("p_brand").alias("family"), F.col("gene").alias("GeneID"), F.col("gene").alias("TranscriptID"), F.col("p_partkey").cast("string").alias("SubexonID"), "Cluster", F.col("seq").alias("protein"), (F.col("p_partkey") * 1000).alias("lo"), (F.col("p_partkey") * 1000 + 999).alias("hi"), F.lit(1).alias("Strand"), F.lit(0).alias("StartPhase"))
+    return materialize(ordered.ranks(x, ["family", "GeneID"], ["lo"], "SubexonRank"), "sub_exons")
+
+
+@query()
+def settled_clusters(spark, sf_dir):
+    """The Cluster of every sub-exon after alignments are settled, negative where it was taken out."""
+    return families.settle(_sub_exons_of_brands(spark, sf_dir))[0].select("family", "GeneID", "SubexonID", "Cluster")
+
+
+@query()
+def rescued_sub_exons(spark, sf_dir):
+    """The Cluster of every sub-exon after what was taken out has been tried on the other clusters."""
+    settled, aligned = families.settle(_sub_exons_of_brands(spark, sf_dir))
+    return families.rescued(settled, aligned)[0].select("family", "GeneID", "SubexonID", "Cluster")
+
+
+@query()
+def repaired_segments(spark, sf_dir):
+    """Orthologous segments of all brands, from settled, rescued and repaired alignments."""
+    found, _ = families.s_exons(_sub_exons_of_brands(spark, sf_dir))
+    return found.select("family", "GeneID", "SubexonID", "s_exon", "seq", "gapped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
