@@ -17,6 +17,9 @@ from .sources import sinks, tables
 from .storage import materialize
 
 
+ALIGNERS = {"progressive": families.progressive_aligner, "star": families.star_aligner}
+
+
 def arguments() -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="splicelake", description="Splicing events of gene families.")
     p.add_argument("transcripts", help="transcript table (CSV)")
@@ -36,6 +39,7 @@ def arguments() -> argparse.Namespace:
     p.add_argument("--keepunknown", action="store_true", help="keep transcripts with unknown residues")
     p.add_argument("--codes", action="store_true", help="write one-letter codes of segments, PIR records and coded paths too")
     p.add_argument("--nomerge", action="store_true", help="do not join sub-exons that only appear together")
+    p.add_argument("--aligner", choices=sorted(ALIGNERS), default="progressive", help="how the rows of a cluster are aligned")
     p.add_argument("--keepsingle", action="store_true", help="keep sub-exons that only align with gaps")
     p.add_argument("--norescue", action="store_true", help="leave sub-exons that were taken out of a cluster alone")
     p.add_argument("--nomovements", action="store_true", help="do not move loose ends of sub-exons within alignments")
@@ -55,7 +59,7 @@ def main() -> None:
     sub = materialize(families.sub_exons(clean, merge=not a.nomerge), "sub_exons")
     clustered = materialize(families.cluster(sub, a.coverage, a.identity, a.minlen), "clustered")
     options = {"keep_single": a.keepsingle, "rescue": not a.norescue, "movements": not a.nomovements, "disintegration": not a.nodisintegration}
-    found, clustered = families.s_exons(clustered, families.star_aligner(None, a.gapopen, a.gapextend), "X" * a.padding, a.identity, a.minlen, **options)
+    found, clustered = families.s_exons(clustered, ALIGNERS[a.aligner](None, a.gapopen, a.gapextend), "X" * a.padding, a.identity, a.minlen, **options)
     found = materialize(families.segment_places(found, clustered), "s_exons")
     segments = materialize(families.segments(clustered, found), "segments")
     levels = trx.groupBy(F.col("TranscriptID").alias("trx")).agg(F.min("TSL").cast("double").alias("tsl"))
