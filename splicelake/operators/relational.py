@@ -53,12 +53,16 @@ def drop_bad_quality(df: DataFrame, trx: str, protein: str) -> DataFrame:
     return drop_groups(df, [trx], F.col(protein).contains("X"))
 
 
-def transcript_fraction(df: DataFrame, gene: str, trx: str, segment: str) -> DataFrame:
-    """Rows with the share of a gene's transcripts that have the segment."""
+def segment_fractions(df: DataFrame, gene: str, trx: str, segment: str) -> DataFrame:
+    """The share of a gene's transcripts that have a segment: a row for each gene and segment."""
     counts = df.groupBy(gene, segment).agg(F.count(F.lit(1)).alias("SubexonCount"))
     totals = df.groupBy(gene).agg(F.count_distinct(trx).alias("TranscriptNumber"))
-    both = counts.join(totals, gene).withColumn("TranscriptFraction", F.col("SubexonCount") / F.col("TranscriptNumber"))
-    return df.join(both, [gene, segment])
+    return counts.join(totals, gene).withColumn("TranscriptFraction", F.col("SubexonCount") / F.col("TranscriptNumber"))
+
+
+def transcript_fraction(df: DataFrame, gene: str, trx: str, segment: str) -> DataFrame:
+    """Rows with the share of a gene's transcripts that have the segment."""
+    return df.join(segment_fractions(df, gene, trx, segment), [gene, segment])
 
 
 def add_user_rows(base: DataFrame, user: DataFrame) -> DataFrame:

@@ -559,8 +559,8 @@ def left_lookup(spark, sf_dir):
 SELECT l_suppkey, l_partkey, k AS n_rows, n AS n_transcripts, round(k * 1e0 / n, 6) AS fraction FROM c JOIN t USING (l_suppkey)""")
 def transcript_fraction(spark, sf_dir):
     x = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey")
-    rows = relational.transcript_fraction(x, "l_suppkey", "l_orderkey", "l_partkey")
-    return rows.select("l_suppkey", "l_partkey", F.col("SubexonCount").alias("n_rows"), F.col("TranscriptNumber").alias("n_transcripts"), F.round("TranscriptFraction", 6).alias("fraction")).distinct()
+    rows = relational.segment_fractions(x, "l_suppkey", "l_orderkey", "l_partkey")
+    return rows.select("l_suppkey", "l_partkey", F.col("SubexonCount").alias("n_rows"), F.col("TranscriptNumber").alias("n_transcripts"), F.round("TranscriptFraction", 6).alias("fraction"))
 
 
 _WORDS = "string_split(p_name || ' ' || p_type, ' ')"
