@@ -44,8 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _signature(e: DataFrame) -> tuple:
-    """Number of edges and the sum of their hashes: equal for equal edge sets."""
-    return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+    """Number of edges and the sums of both halves of their hashes: equal for equal edge sets."""
+    h = e.select(F.xxhash64("a", "b").alias("h"))
+    return tuple(h.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF))), F.lit(0)), F.coalesce(F.sum(F.shiftright("h", 31)), F.lit(0))).first())
 
 
 def merge_clusters(rows: DataFrame, item: str, cluster: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity, trees
+from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity, trees, users
 from ..sources import sinks, tables
 from ..storage import materialize, shared_folder
 from . import families
@@ -961,6 +961,43 @@ def repaired_segments(spark, sf_dir):
     return found.select("family", "GeneID", "SubexonID", "s_exon", "seq", "gapped")
 
 
+def _user_tables(spark, sf_dir):
+    """Parts as exons of users, lines as the table of exons that they join."""
+    p = F.col("p_partkey")
+    user = load(spark, sf_dir, "part").select(
+        F.lit("homo_sapiens").alias("Species"), F.col("p_brand").alias("GeneID"), F.concat(F.lit("T"), p * 7).alias("TranscriptID"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(-1).alias("Strand"), F.concat(F.lit("E"), p).alias("ExonID"), (p % 5).alias("ExonRank"),
+        p.alias("ExonRegionStart"), (p + F.length("p_name") - 1).alias("ExonRegionEnd"), (p + 3).alias("GenomicCodingStart"), (p + F.col("p_size")).alias("GenomicCodingEnd"), F.lit(0).alias("StartPhase"), F.lit(0).alias("EndPhase"), F.col("p_name").alias("NucleotideSequence"),
+    )
+    k = F.col("l_partkey")
+    exons_ = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("T"), "l_orderkey").alias("TranscriptID"), F.concat(F.lit("E"), k).alias("ExonID"), k.alias("ExonRegionStart"), (k + 30 + F.col("l_linenumber")).alias("ExonRegionEnd"), (k + 3).alias("GenomicCodingStart"), (k + 9).alias("GenomicCodingEnd"), F.lit(0).alias("StartPhase"), F.lit(0).alias("EndPhase"))
+    return user, exons_
+
+
+@query("""WITH u AS (SELECT 'T' || p_partkey * 7 AS t, 'E' || p_partkey AS e, p_partkey AS k, len(p_name) AS n, p_size FROM part),
+b AS (SELECT DISTINCT 'T' || l_orderkey AS t FROM lineitem), x AS (SELECT DISTINCT 'E' || l_partkey AS e, 30 + l_linenumber AS d FROM lineitem)
+SELECT t, e, 'coding region order' AS fault FROM u WHERE k + 3 > k + p_size UNION ALL SELECT t, e, 'exon region order' FROM u WHERE n < 1
+UNION ALL SELECT t, e, 'known transcript' FROM u WHERE t IN (SELECT t FROM b)
+UNION ALL SELECT DISTINCT u.t, u.e, 'known exon with other values' FROM u JOIN x ON x.e = u.e WHERE d <> n - 1 OR p_size <> 9""")
+def user_table_faults(spark, sf_dir):
+    """Every rule that exons of users break, alone and against the table that they join."""
+    found = users.faults(*_user_tables(spark, sf_dir))
+    return found.select(F.col("TranscriptID").alias("t"), F.col("ExonID").alias("e"), "fault")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS strand, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) + 5 AS e, CASE WHEN l_suppkey % 4 > 0 THEN l_partkey + 2 END AS cs, CASE WHEN l_suppkey % 4 > 0 THEN l_partkey + CAST(l_quantity AS BIGINT) + 1 END AS ce,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rk FROM lineitem),
+c AS (SELECT *, CAST(sum(e - s + 1) OVER (PARTITION BY l_orderkey ORDER BY rk) AS BIGINT) AS upto, CASE WHEN strand = -1 THEN s - cs ELSE e - ce END AS after FROM x)
+SELECT l_orderkey AS trx, rk, upto - (ce - cs + 1) - after + 1 AS cdna_start, CASE WHEN ce IS NOT NULL THEN upto - after END AS cdna_end FROM c""")
+def user_cdna_places(spark, sf_dir):
+    """Where the coding part of each line, as an exon, lies among the lines of its order."""
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    k, q, coding = F.col("l_partkey"), F.col("l_quantity").cast("long"), F.col("l_suppkey") % 4 > 0
+    x = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("TranscriptID"), rank.alias("ExonRank"), F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(-1).alias("Strand"), k.alias("ExonRegionStart"), (k + q + 5).alias("ExonRegionEnd"), F.when(coding, k + 2).alias("GenomicCodingStart"), F.when(coding, k + q + 1).alias("GenomicCodingEnd")
+    )
+    return users.cdna_places(x).select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("cDNA_CodingStart").alias("cdna_start"), F.col("cDNA_CodingEnd").alias("cdna_end"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
