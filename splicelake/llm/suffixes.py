@@ -558,3 +558,5 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
         return materialize(table.groupBy("__sa_unit").cogroup(spans.groupBy("unit")).applyInArrow(digest, schema), "suffix_result")
     finally:
         spark.sql(f"DROP TABLE {name}")
+        fs, at = open_fs(folder)
+        fs.delete_dir(at)
