@@ -998,6 +998,55 @@ def user_cdna_places(spark, sf_dir):
     return users.cdna_places(x).select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("cDNA_CodingStart").alias("cdna_start"), F.col("cDNA_CodingEnd").alias("cdna_end"))
 
 
+def _written_csv(spark, df: DataFrame, sep: str = ",", missing: str = "") -> str:
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True, sep=sep, nullValue=missing)
+    return path
+
+
+@query("""SELECT 'T' || o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'mus_musculus' ELSE 'homo_sapiens' END AS species, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END AS level FROM orders
+WHERE o_orderkey % 3 <> 0 AND (o_orderkey % 7 <= 3)""")
+def transcript_file(spark, sf_dir):
+    """All orders as a file of transcripts: those of the wanted biotype and support stay, missing levels too."""
+    k = F.col("o_orderkey")
+    x = load(spark, sf_dir, "orders").select(
+        F.when(k % 5 == 0, "mus_musculus").otherwise("homo_sapiens").alias("Species"), F.col("o_orderpriority").alias("Name"), F.concat(F.lit("T"), k).alias("TranscriptID"), F.lit("s").alias("Source"), F.lit("e").alias("ExperimentSource"),
+        F.when(k % 3 == 0, "lncRNA").when(k % 3 == 1, "protein_coding").otherwise("Protein coding").alias("Biotype"), F.when(k % 7 > 0, (k % 7).cast("string")).alias("Flags"), F.lit("1").alias("Version"),
+    )
+    found = tables.read_transcripts(spark, _written_csv(spark, x, missing="NA"), ["homo_sapiens", "mus_musculus"])
+    return found.select(F.col("TranscriptID").alias("id"), F.col("Species").alias("species"), F.col("TSL").cast("double").alias("level"))
+
+
+@query("""SELECT 'T' || l_orderkey AS trx, 'E' || l_partkey AS exon, CAST(l_linenumber AS BIGINT) AS rank, l_partkey * 10 AS s, l_partkey * 10 + 99 AS e, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS strand FROM lineitem WHERE l_partkey % 6 <> 0""")
+def exon_file(spark, sf_dir):
+    """All lines as a file of exons: rows with a missing value go."""
+    k = F.col("l_partkey")
+    coding = F.when(k % 6 != 0, k * 10)
+    x = load(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("G"), "l_suppkey").alias("GeneID"), F.concat(F.lit("T"), "l_orderkey").alias("TranscriptID"), F.concat(F.lit("P"), "l_orderkey").alias("ProteinID"), F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1).alias("Strand"), F.concat(F.lit("E"), k).alias("ExonID"),
+        (k * 10).alias("ExonRegionStart"), (k * 10 + 99).alias("ExonRegionEnd"), F.col("l_linenumber").alias("ExonRank"), coding.alias("cDNA_CodingStart"), coding.alias("cDNA_CodingEnd"), coding.alias("GenomicCodingStart"), (coding + 99).alias("GenomicCodingEnd"), F.lit(0).alias("StartPhase"), F.lit(-1).alias("EndPhase"),
+    )
+    found = tables.read_exons(spark, _written_csv(spark, x, "\t"))
+    return found.select(F.col("TranscriptID").alias("trx"), F.col("ExonID").alias("exon"), F.col("ExonRank").alias("rank"), F.col("ExonRegionStart").alias("s"), F.col("ExonRegionEnd").alias("e"), F.col("Strand").alias("strand"))
+
+
+@query("""SELECT 'T' || p_partkey * 7 AS trx, 'E' || p_partkey AS exon, p_partkey % 5 AS rank, p_partkey AS s, p_partkey + len(p_name) - 1 AS e, p_name AS seq FROM part""")
+def user_exon_file(spark, sf_dir):
+    """All parts as a file of exons of users."""
+    user, _ = _user_tables(spark, sf_dir)
+    columns = [f.name for f in tables.USER_EXONS]
+    found = tables.read_user_exons(spark, _written_csv(spark, user.select(columns)))
+    return found.select(F.col("TranscriptID").alias("trx"), F.col("ExonID").alias("exon"), F.col("ExonRank").alias("rank"), F.col("ExonRegionStart").alias("s"), F.col("ExonRegionEnd").alias("e"), F.col("NucleotideSequence").alias("seq"))
+
+
+@query(f"""WITH {_LEAST.replace('RECURSIVE', _BILLS)}
+SELECT node AS id, x AS kept FROM r WHERE node <> x""")
+def representatives(spark, sf_dir):
+    """All but the least of each group of linked customers and prices."""
+    o = load(spark, sf_dir, "orders")
+    return components.representatives(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

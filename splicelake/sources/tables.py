@@ -58,17 +58,19 @@ def species_list(text: str) -> list[str]:
 
 
 def read_species_list(spark: SparkSession, path: str) -> DataFrame:
-    """One species a line, with its place in the list as sort key."""
-    x = spark.read.text(path).select(F.trim("value").alias("species"), F.monotonically_increasing_id().alias("place"))
-    return x.where(is_species(F.col("species")))
+    """One species a line, with its place in the list as sort key; a name that is not well-formed is an error."""
+    x = spark.read.text(path).select(F.trim("value").alias("species"), F.monotonically_increasing_id().alias("place")).where("species <> ''")
+    wrong = F.raise_error(F.concat(F.lit("not a species name: "), F.col("species")))
+    return x.withColumn("species", F.when(is_species(F.col("species")), F.col("species")).otherwise(wrong))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records (header, id, seq, file); id is the second word of the header, or the first.
 
-    Records are split by Spark's reader at '>' and never pass the driver.
+    Records are split by Spark's reader where a line begins with '>' and never
+    pass the driver; the sign may stand anywhere else.
     """
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
     lines = F.split("value", "\r?\n")
     words = F.split("header", r"\s+")
     x = raw.select(lines[0].alias("header"), F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda line: F.trim(line)), "").alias("seq"), "file")

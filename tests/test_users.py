@@ -69,3 +69,17 @@ def test_the_command_adds_to_all_three_tables(spark, base, tmp_path):
     trx = spark.read.csv(str(tmp_path / "out" / "tsl"), header=True).where("TranscriptID = 'U1'").first()
     assert (trx.Species, trx.Name, trx.Source, trx.ExperimentSource, trx.Biotype, trx.Flags) == ("homo_sapiens", "U1", "user", "user", "protein_coding", None) and trx.Version
     assert {(r.ExonID, r.seq) for r in tables.read_exon_sequences(spark, str(tmp_path / "out" / "sequences")).collect()} == {("E1", "ACGT"), ("X1", "A" * 10)}
+
+
+def test_signs_within_fasta_records(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">a b>c d\nAC\nGT\n\n>e\n>f g\r\nAA>\r\n")
+    got = [(r.header.strip(), r.id, r.seq) for r in tables.read_fasta(spark, str(tmp_path / "x.fasta")).collect()]
+    assert got == [("a b>c d", "b>c", "ACGT"), ("e", "e", ""), ("f g", "g", "AA>")]
+
+
+def test_species_lists(spark, tmp_path):
+    (tmp_path / "good").write_text("homo_sapiens\n\nmus_musculus\n")
+    assert [r.species for r in tables.read_species_list(spark, str(tmp_path / "good")).orderBy("place").collect()] == ["homo_sapiens", "mus_musculus"]
+    (tmp_path / "bad").write_text("Homo sapiens\n")
+    with pytest.raises(Exception, match="not a species name"):
+        tables.read_species_list(spark, str(tmp_path / "bad")).collect()
