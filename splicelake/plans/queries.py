@@ -1047,6 +1047,19 @@ def representatives(spark, sf_dir):
     return components.representatives(o.select(F.col("o_custkey").alias("a"), (1000000 + F.floor("o_totalprice")).alias("b")))
 
 
+@query("""SELECT 'node' AS kind, CAST(p_partkey AS VARCHAR) AS a, p_name AS b, CAST(p_size AS VARCHAR) AS value FROM part
+UNION ALL SELECT 'edge', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) FROM lineitem""")
+def gml_round_trip(spark, sf_dir):
+    """Parts as nodes and lines as edges of a graph, written as GML and read back."""
+    path = f"{shared_folder(spark)}/gml-{uuid.uuid4().hex}"
+    nodes = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_size").alias("size"))
+    edges = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("line"))
+    sinks.write_gml(nodes, edges, path)
+    back, links = tables.read_gml(spark, path)
+    one = back.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("attributes.size").alias("value"))
+    return one.unionByName(links.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("attributes.line").alias("value")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -90,6 +90,22 @@ def read_segment_alignments(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("segment", F.split("segment", "_")[0].cast("int").alias("cluster"), F.split("segment", "_")[1].cast("int").alias("block"), F.split("header", r"\s+")[0].alias("gene"), F.col("seq").alias("aligned"))
 
 
+def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, attributes) and edges (source, target, attributes) of a GML file or folder, attributes as a map of strings.
+
+    Spark's reader splits blocks at the line that closes them; attributes stand
+    one a line, and strings have no quote within.
+    """
+    raw = spark.read.option("lineSep", "\n  ]").text(path)
+    line = F.lit(r'(?m)^\s*(\w+) "?([^"\n]*)"?\s*$')
+    pairs = F.map_from_arrays(F.regexp_extract_all("value", line, F.lit(1)), F.regexp_extract_all("value", line, F.lit(2)))
+    blocks = raw.select(F.regexp_extract("value", r"(node|edge) \[", 1).alias("kind"), pairs.alias("m"))
+    rest = lambda *names: F.map_filter("m", lambda k, _: ~k.isin(*names)).alias("attributes")
+    found = {k: blocks.where(F.col("kind") == k) for k in ("node", "edge")}
+    nodes = found["node"].select(F.col("m.id").alias("id"), F.col("m.label").alias("label"), rest("id", "label", "directed"))
+    return nodes, found["edge"].select(F.col("m.source").alias("source"), F.col("m.target").alias("target"), rest("source", "target", "directed"))
+
+
 def parse_newick(text: str) -> list[tuple[int, int | None, str, float | None]]:
     """Nodes (id, parent, name, length) of one tree, the root first."""
     nodes: list[list] = [[0, None, "", None]]
