@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -94,6 +95,31 @@ class Compression:
         return ratio, len(chunks), bad, reason
 
 
+def fit_bands(docs: DataFrame, lengths: tuple = tuple(b[0] for b in BANDS), tail: float = 0.001, margin: float = 0.1, level: int = LEVEL, chunk: int = CHUNK) -> tuple:
+    """Bands from clean docs (text): by length, the ratios that all but a ``tail`` of whole texts and chunks have at either end, widened by ``margin``.
+
+    Every text of docs counts, its chunks too where it has some.  A length that
+    no text reaches takes the band below it, widened alike; empty and null texts
+    say nothing.  Only two quantiles a length reach the driver.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=level).compress
+        for batch in batches:
+            for some in pieces_of(batch, "text"):
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in some.column(0).to_pylist()]
+                parts = [p for r in raws for p in (r, *(r[i : i + chunk] for i in range(0, len(r), chunk) if len(r) > chunk)) if p]
+                yield pa.RecordBatch.from_pydict({"n": pa.array([bisect_right(lengths, len(p)) for p in parts], pa.int64()), "ratio": pa.array([len(compress(p)) / len(p) for p in parts], pa.float64())})
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(read, "n long, ratio double").where("n > 0")
+    ends = rows.groupBy("n").agg(F.percentile_approx("ratio", [tail, 1 - tail], 100_000).alias("q")).collect()
+    found, bands = {r.n: r.q for r in ends}, []
+    for i, least in enumerate(lengths, 1):
+        low, high = found.get(i, (bands[-1][1] / (1 - margin), bands[-1][2] / (1 + margin)) if bands else (0.0, float("inf")))
+        bands.append((least, low * (1 - margin), high * (1 + margin)))
+    return tuple(bands)
+
+
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, reason string"
 
 
