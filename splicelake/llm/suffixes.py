@@ -61,25 +61,19 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Columns:
     """Arrays of equal length that a round reads once from front to back and writes anew.
 
-    Without a folder they stay in memory as one stretch; with one they are
-    sequential files of the shared file system, one an array and round, read
-    and written in stretches of ``CHUNK``.
+    They are sequential files of the shared file system, one an array and
+    round, read and written in stretches of ``CHUNK``.
     """
 
-    def __init__(self, kinds: list[type], folder: str | None):
-        self.kinds, self.folder, self.round = [np.dtype(k) for k in kinds], folder, 0
-        self.held: list[np.ndarray] = [np.zeros(0, k) for k in self.kinds]
-        if folder:
-            self.fs, self.base = open_fs(folder)
-            self.fs.create_dir(self.base, recursive=True)
+    def __init__(self, kinds: list[type], folder: str):
+        self.kinds, self.round = [np.dtype(k) for k in kinds], 0
+        self.fs, self.base = open_fs(folder)
+        self.fs.create_dir(self.base, recursive=True)
 
     def _name(self, turn: int, i: int) -> str:
         return f"{self.base}/{i}-{turn % 2}"
 
     def write(self, stretches: Iterator[list[np.ndarray]]) -> None:
-        if not self.folder:
-            self.held = [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*stretches)]
-            return
         out = [self.fs.open_output_stream(self._name(self.round + 1, i)) for i in range(len(self.kinds))]
         for arrays in stretches:
             for f, x in zip(out, arrays):
@@ -91,9 +85,6 @@ class Columns:
     def read(self, which: int | None = None) -> Iterator[list[np.ndarray]]:
         """Stretches of the arrays (of the first ``which``)."""
         kinds = self.kinds[:which]
-        if not self.folder:
-            yield self.held[:which]
-            return
         files = [self.fs.open_input_stream(self._name(self.round, i)) for i in range(len(kinds))]
         while True:
             some = [np.frombuffer(f.read(CHUNK * k.itemsize), k) for f, k in zip(files, kinds)]
@@ -104,27 +95,130 @@ class Columns:
             f.close()
 
     def drop(self) -> None:
-        if self.folder:
-            self.fs.delete_dir(self.base)
+        self.fs.delete_dir(self.base)
 
 
 def column_wise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, suffix length and common prefix with the suffix before, in suffix order.
 
-    Empty suffixes come first, in the order of strings.  Round j holds the
-    symbols before all suffixes of length up to j, ``bwt``, and the common
-    prefixes of neighbours, ``lcp``; 0 stands before a whole string.  A round
-    reads both once to find the place of each string's next suffix, by the
-    number of equal symbols before it, and the least common prefix since the
-    last equal symbol, which is one less than the new one; it then merges the
-    new entries in and writes both anew.  With a ``folder`` they lie there in
-    sequential files, together with the name of each suffix, and only what
-    belongs to the strings' current ends is held.  Common prefixes of 255 and
-    more count as 255; no more than 255 different bytes may occur.
+    Empty suffixes come first, in the order of strings.  Common prefixes of 255
+    and more count as 255.  With a ``folder`` the rounds go through sequential
+    files there, and only what belongs to the strings' current ends is held.
     """
-    m = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
+    ends = np.cumsum(sizes)
+    return _rounds_in_files(flat, ends, sizes, folder) if folder else _rounds(flat, ends - 1, sizes)
+
+
+def window_classes(strings: list[bytes], length: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, suffix length and class of all suffixes of ``length`` bytes or more, classes ascending.
+
+    A class has equal first ``length`` bytes.  In memory a symbol is as many
+    bytes, four at most, as divide ``length``: a string is then that many strings,
+    one from each of its first bytes, and has as many times fewer rounds.  Zeros
+    fill their last symbols, which no window of ``length`` bytes holds.
+    """
+    if folder:
+        string, own, lcp = column_wise(strings, folder)
+        width = 1
+    else:
+        width = next(w for w in (4, 2, 1) if length % w == 0)
+        sizes = np.array([len(s) for s in strings], np.int64)
+        flat = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        # symbols at every byte; a string's last ones end with it
+        symbols = np.zeros(len(flat) - width, np.uint32)
+        within = np.repeat(begins + sizes, sizes) - np.arange(len(symbols))
+        for i in range(width):
+            symbols = (symbols << np.uint32(8)) | np.where(within > i, flat[i : len(symbols) + i], 0).astype(np.uint32)
+        phase = np.tile(np.arange(width), len(sizes))
+        whole = np.repeat(sizes, width)
+        count = np.maximum(-(-(whole - phase) // width), 0)
+        string, suffix, lcp = _rounds(symbols, np.repeat(begins, width) + phase + (count - 1) * width, count, width)
+        own = whole[string] - phase[string] - (count[string] - suffix) * width
+        string //= width
+    klass = np.cumsum(lcp < length // width)
+    long = own >= length
+    return string[long], own[long].astype(np.int64), klass[long]
+
+
+def _rounds(symbols: np.ndarray, last: np.ndarray, sizes: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``column_wise`` in memory, of strings of ``sizes`` symbols (up to 32 bits) that lie ``step`` apart and end at ``last``.
+
+    The transform is held by symbol: ``pairs`` has the symbol before each suffix
+    and the suffix's place, sorted.  So the rank of a pair is the place of the
+    suffix that begins with its symbol, after the empty ones.  A round gives
+    each string's next suffix this place, takes the least common prefix since
+    the pair before of the same symbol, which is one less than the new one,
+    moves the places in all pairs on and merges the next pairs in.
+    """
+    m = len(sizes)
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    lcp = np.zeros(m, np.uint8)
+    pairs, live, to, length = np.zeros(0, np.uint64), np.arange(m), np.arange(m), 0
+    while True:
+        more = sizes[live] > length
+        live = live[more]
+        if not len(live):
+            break
+        fresh = (symbols[last[live] - step * length].astype(np.uint64) << half) | to[more].astype(np.uint64)
+        order = np.argsort(fresh)
+        fresh, live = fresh[order], live[order]
+        rank = np.searchsorted(pairs, fresh) + np.arange(len(fresh))
+        old = np.ones(len(pairs) + len(fresh), bool)
+        old[rank] = False
+        grown = np.empty(len(old), np.uint64)
+        grown[old], grown[rank] = pairs, fresh
+        pairs = grown
+        # new common prefixes: of the fresh and of those right after them, where the pair before has the same symbol
+        new = ~old
+        new[1:] |= ~old[:-1]
+        near = np.flatnonzero(new)
+        value = np.zeros(len(near), np.uint8)
+        some = np.flatnonzero((near > 0) & (pairs[near] >> half == pairs[near - 1] >> half))
+        begin, end = ((pairs[near[some] - i] & low).astype(np.int64) + 1 for i in (1, 0))
+        by = np.argsort(begin)
+        spans = np.stack((begin[by], end[by]), axis=1).ravel()  # every other one lies between two spans
+        value[some[by]] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(0)), spans)[::2], 254) + 1
+        grown = np.zeros(m + len(pairs), np.uint8)
+        grown[:m] = lcp[:m]
+        grown[m:][old] = lcp[m:]
+        grown[near + m] = value
+        lcp = grown
+        # old suffixes move on by the fresh ones before them
+        moved = np.concatenate((np.arange(m), np.flatnonzero(old) + m)).astype(np.uint32)
+        for a in range(0, len(pairs), CHUNK):
+            part = pairs[a : a + CHUNK]
+            place = (part & low).astype(np.int64)
+            part += moved[place] - place.astype(np.uint64)
+        to = rank + m
+        length += 1
+    # walk the finished transform to name each suffix
+    onward = np.empty(len(lcp), np.int64)
+    onward[(pairs & low).astype(np.int64)] = np.arange(m, len(lcp))
+    string, suffix = np.empty(len(lcp), np.int32), np.zeros(len(lcp), np.int32)
+    at = live = np.arange(m)
+    string[at] = live
+    for length in range(1, int(sizes.max(initial=0)) + 1):
+        stay = sizes[live] >= length
+        at, live = onward[at[stay]], live[stay]
+        string[at], suffix[at] = live, length
+    return string, suffix, lcp
+
+
+def _rounds_in_files(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``column_wise`` through sequential files.
+
+    Round j holds the symbols before all suffixes of length up to j, ``bwt``,
+    the common prefixes of neighbours, ``lcp``, and the name of each suffix; 0
+    stands before a whole string.  A round reads them once to find the place of
+    each string's next suffix, by the number of equal symbols before it, and the
+    least common prefix since the last equal symbol, which is one less than the
+    new one; it then merges the new entries in and writes all anew.  No more
+    than 255 different bytes may occur.
+    """
+    m = len(sizes)
     present = np.flatnonzero(np.bincount(flat, minlength=256))
     if len(present) > 255:
         raise ValueError("more than 255 different bytes")
@@ -132,12 +226,11 @@ def column_wise(strings: list[bytes], folder: str | None = None) -> tuple[np.nda
     dense = np.zeros(256, np.uint8)
     dense[present] = np.arange(1, kinds)
     flat = dense[flat]
-    ends = np.cumsum(sizes)
     at = live = np.flatnonzero(sizes > 0)
     first = np.zeros(m, np.uint8)
     first[live] = flat[ends[live] - 1]
-    columns = Columns([np.uint8, np.uint8, *[np.int64] * bool(folder)], folder)
-    columns.write(iter([[first, np.zeros(m, np.uint8), np.arange(m) << 32][: len(columns.kinds)]]))
+    columns = Columns([np.uint8, np.uint8, np.int64], folder)
+    columns.write(iter([[first, np.zeros(m, np.uint8), np.arange(m) << 32]]))
     counts = np.bincount(first, minlength=kinds)
     length = 0
     while len(live):
@@ -149,27 +242,13 @@ def column_wise(strings: list[bytes], folder: str | None = None) -> tuple[np.nda
         order = np.argsort(to)
         to, live, before = to[order] + shift, live[order], before[order]
         by = np.argsort(value_at)
-        names = [(live << 32) + length][: len(columns.kinds) - 2]
-        columns.write(_merged(columns, to, [before, np.zeros(len(to), np.uint8), *names], value_at[by] + shift, values[by], int(counts.sum())))
+        columns.write(_merged(columns, to, [before, np.zeros(len(to), np.uint8), (live << 32) + length], value_at[by] + shift, values[by], int(counts.sum())))
         counts += np.bincount(before, minlength=kinds)
         more = before > 0
         live, at = live[more], to[more]
     found = [np.concatenate(x) for x in zip(*columns.read())]
     columns.drop()
-    if folder:
-        return (found[2] >> 32).astype(np.int32), (found[2] & 0xFFFFFFFF).astype(np.int32), found[1]
-    bwt, lcp = found
-    # walk the finished transform to name each suffix
-    onward = np.empty(len(bwt), np.int64)
-    onward[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - int(counts[0]) + m
-    string, suffix = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
-    at, live = np.arange(m), np.arange(m)
-    string[at] = live
-    for length in range(1, int(sizes.max(initial=0)) + 1):
-        stay = sizes[live] >= length
-        at, live = onward[at[stay]], live[stay]
-        string[at], suffix[at] = live, length
-    return string, suffix, lcp
+    return (found[2] >> 32).astype(np.int32), (found[2] & 0xFFFFFFFF).astype(np.int32), found[1]
 
 
 def _places(columns: Columns, at: np.ndarray, starts: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,9 +285,6 @@ def _places(columns: Columns, at: np.ndarray, starts: np.ndarray, kinds: int) ->
         place = np.repeat(low - offset, spans) + np.arange(int(spans.sum()))
         near_ranks.append(inner + back[bwt[order[inner]]])
         near_values.append(np.minimum(np.minimum.reduceat(lcp[place], offset) if len(spans) else np.zeros(0, np.uint8), 254) + 1)
-        if not columns.folder:  # one stretch: the first of a symbol shares nothing with what is before it
-            head_ranks = j[j == begin[symbol]] + back[symbol[j == begin[symbol]]]
-            return ranks[0], np.concatenate((near_ranks[0], head_ranks)), np.concatenate((near_values[0], np.zeros(len(head_ranks), np.uint8)))
         # the first of each symbol in this stretch looks back over the stretches before
         is_live = np.zeros(n, bool)
         is_live[mine] = True
@@ -307,7 +383,8 @@ def pieces(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int =
                 v = np.minimum(v[: len(v) - (w - have)], v[w - have :])
             anchor = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
             place = np.arange(a, a + len(anchor))
-            text = np.searchsorted(begins, place, "right") - 1 if stop - at > 1 else np.full(len(anchor), use[at])
+            some = use[at:stop]
+            text = np.repeat(some, ends[some] - begins[some])[: len(anchor)] if len(some) > 1 else np.full(len(anchor), use[at])
             good = place + length <= ends[text]
             anchor, place, text = anchor[good], place[good], text[good]
             if not len(place):
@@ -362,11 +439,17 @@ def _batch(names: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def _by_value(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value, ascending, and where it stands."""
+    order = np.argsort(x, kind="stable")
+    some, cuts = np.unique(x[order], return_index=True)
+    return zip(some.tolist(), np.split(order, cuts[1:]))
+
+
 def _spans_by_unit(unit: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
     rows = []
-    for u in np.unique(unit):
-        mine = unit == u
-        rows.append((int(u), *(x.astype(np.int64).tobytes() for x in _runs(uid[mine], start[mine], n[mine]))))
+    for u, mine in _by_value(unit):
+        rows.append((u, *(x.astype(np.int64).tobytes() for x in _runs(uid[mine], start[mine], n[mine]))))
     return rows
 
 
@@ -381,10 +464,8 @@ def sort_block(strings: list[bytes], anchor: np.ndarray, doc_id: np.ndarray, uid
     none = np.zeros(0, np.int64)
     if not len(use):
         return none, none
-    string, suffix, lcp = column_wise([strings[i] for i in use], folder)
-    klass = np.cumsum(lcp < length)
-    long = suffix >= length
-    string, suffix, klass = use[string[long]], suffix[long].astype(np.int64), klass[long]
+    string, suffix, klass = window_classes([strings[i] for i in use], length, folder)
+    string = use[string]
     offset = np.array([len(s) for s in strings])[string] - suffix
     order = np.lexsort((uid, doc_id))
     rank = np.empty(len(uid), np.int64)
@@ -431,23 +512,23 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
                 more = counts > 2  # the others are counted apart
                 some_h, some_n = values[more], counts[more] - 2
                 block, some_b = (h % np.uint64(blocks)).astype(np.int64), (some_h % np.uint64(blocks)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                some, cuts = np.unique(block[order], return_index=True)
-                rows = [(int(b), int(u), part.tobytes(), some_h[some_b == b].tobytes(), some_n[some_b == b].astype(np.int64).tobytes()) for b, part in zip(some, np.split(h[order], cuts[1:]))]
+                more = dict(_by_value(some_b))
+                none = np.zeros(0, np.int64)
+                rows = [(b, int(u), h[i].tobytes(), some_h[more.get(b, none)].tobytes(), some_n[more.get(b, none)].astype(np.int64).tobytes()) for b, i in _by_value(block)]
                 if rows:
                     yield from _batch(_ANCHORS, rows).to_batches()
 
     def repeated(t: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(x, np.uint64) for x in t.column("hash").to_pylist()]
-        values, counts = np.unique(np.concatenate(arrays), return_counts=True)
+        h, row = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
         np.add.at(counts, np.searchsorted(values, _numbers(t, "more", np.uint64)), _numbers(t, "number", np.int64))
-        hot = values[counts > crowded]
-        values = values[counts > 1]
-        rows = []
-        for unit, h in zip(t.column("unit").to_pylist(), arrays):
-            h = np.intersect1d(h, values)
-            if len(h):
-                rows.append((unit, h.tobytes(), np.intersect1d(h, hot).tobytes()))
+        unit, count = t.column("unit").to_pylist(), counts[inverse]
+        twice = np.concatenate(([False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])))  # a row's hashes ascend
+        wanted, rows = np.flatnonzero((count > 1) & ~twice), []
+        for r, i in _by_value(row[wanted]):
+            i = wanted[i]
+            rows.append((unit[r], h[i].tobytes(), h[i[count[i] > crowded]].tobytes()))
         return _batch(_WANTED, rows)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -483,9 +564,7 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
         mine = np.array(list(earliest.values()), np.int64)
         digest = np.frombuffer(b"".join(earliest), np.uint64).reshape(-1, 2)
         to = (digest[:, 0] % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        some, cuts = np.unique(to[order], return_index=True)
-        for b, part in zip(some.tolist(), np.split(order, cuts[1:]) if len(order) else []):
+        for b, part in _by_value(to):
             i, at = piece[mine[part]], step[mine[part]]
             rows.append((unit, blocks + b, b"", digest[part].tobytes(), b"", ids[text[i]].tobytes(), uid[text[i]].tobytes(), (start[i] + at).tobytes(), b""))
         found_uid, found_start, found_n = uid[text[again]], start[again], n[again]
@@ -494,11 +573,10 @@ def mark(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool =
             found_uid, found_start, found_n = np.concatenate((found_uid, uid[text[i]])), np.concatenate((found_start, start[i] + step[echo])), np.concatenate((found_n, np.ones(len(echo), np.int64)))
         keep, strings = keep[~hot], [x for x, y in zip(strings, hot.tolist()) if not y]
         block = (h[keep] // np.uint64(blocks) % np.uint64(blocks)).astype(np.int64)
-        for b in np.unique(block):
-            mine = np.flatnonzero(block == b)
+        for b, mine in _by_value(block):
             i = keep[mine]
             some = [strings[x] for x in mine]
-            rows.append((unit, int(b), np.array([len(s) for s in some], np.int32).tobytes(), b"".join(some), h[i].tobytes(), ids[text[i]].tobytes(), uid[text[i]].tobytes(), start[i].tobytes(), n[i].tobytes()))
+            rows.append((unit, b, np.array([len(s) for s in some], np.int32).tobytes(), b"".join(some), h[i].tobytes(), ids[text[i]].tobytes(), uid[text[i]].tobytes(), start[i].tobytes(), n[i].tobytes()))
         for row in _spans_by_unit(np.full(len(found_uid), unit), found_uid, found_start, found_n):
             rows.append((unit, -1 - unit, b"", b"", b"", b"", *row[1:]))
         return _batch(_PIECES, rows)

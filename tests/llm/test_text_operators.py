@@ -606,6 +606,32 @@ def test_files_and_arrays_agree_on_long_strings(tmp_path, monkeypatch):
         assert (x == y).all()
 
 
+def test_window_classes_in_few_rounds(tmp_path, monkeypatch):
+    """Equal windows make a class, at every width of symbol and with zeros in texts; pieces of 160 bytes take 40 rounds."""
+    rounds, plain = [], suffixes._rounds
+
+    def counted(symbols, last, sizes, step=1):
+        rounds.append(int(sizes.max()))
+        return plain(symbols, last, sizes, step)
+
+    monkeypatch.setattr(suffixes, "_rounds", counted)
+    rng = np.random.default_rng(14)
+    for turn in range(60):
+        length = turn % 12 + 1
+        strings = [bytes(rng.choice([0, 97, 98], int(n), p=[0.2, 0.7, 0.1]).astype(np.uint8)) for n in rng.integers(1, 40, int(rng.integers(2, 9)))]
+        want = collections.defaultdict(set)
+        for i, s in enumerate(strings):
+            for k in range(length, len(s) + 1):
+                want[s[len(s) - k :][:length]].add((i, k))
+        for folder in (None, f"{tmp_path}/{turn}") if turn % 6 == 0 else (None,):
+            got = collections.defaultdict(set)
+            for i, k, c in zip(*(x.tolist() for x in suffixes.window_classes(strings, length, folder))):
+                got[c].add((i, k))
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    suffixes.window_classes([b"ab" * 80, b"ba" * 79], 100)
+    assert rounds[-1] == 40
+
+
 def test_suffix_repeats_with_files(spark, texts):
     some = [t for _, t in texts[:60]]
     df = make(spark, list(enumerate(some)))
