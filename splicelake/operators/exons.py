@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..storage import materialize
+from ..storage import materialize, small
 from . import components, relational
 
 TRANSCRIPT = ("GeneID", "TranscriptID")
@@ -96,11 +96,15 @@ def merge_identical(rows: DataFrame, item: str, start: str = "GenomicCodingStart
 
     Equal are rows of one gene with the same phases, protein length and
     comparable residues, and the same coordinates where phases are known.  Rows
-    of one id may differ, so ids meet as connected components.
+    of one id may differ, so ids meet as connected components.  Only rows whose
+    key, by a short hash, is not alone are dealt out with their ids.
     """
     of = lambda c, phase: F.when(F.col(phase) != -1, F.col(c))
     key = F.struct("GeneID", "StartPhase", "EndPhase", of(start, "StartPhase").alias("s"), of(end, "EndPhase").alias("e"), F.length("protein").alias("n"), S.comparable(F.col("protein"), F.col("StartPhase"), F.col("EndPhase")).alias("p"))
-    seen = materialize(rows.select("GeneID", F.col(item).alias("__id"), F.xxhash64(key).alias("h1"), F.md5(F.to_json(key)).alias("h2")).distinct(), "identical")
+    rows = rows.where(F.col("GeneID").isNotNull() & F.col(item).isNotNull())
+    keyed = rows.select("GeneID", F.col(item).alias("__id"), F.xxhash64(key).alias("h1"), F.unhex(F.md5(F.to_json(key))).alias("h2"))
+    shared = materialize(keyed.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "shared_keys")
+    seen = materialize(keyed.join(small(shared), "h1", "left_semi").distinct(), "identical")
     least = seen.groupBy("h1", "h2").agg(F.min("__id").alias("__least"))
     node = lambda c: F.to_json(F.struct("GeneID", F.col(c).alias("id")))
     edges = seen.join(least, ["h1", "h2"]).select(node("__id").alias("a"), node("__least").alias("b"))
@@ -108,7 +112,8 @@ def merge_identical(rows: DataFrame, item: str, start: str = "GenomicCodingStart
     found = components.components(edges).select(read("node").alias("n"), read("component").alias("c")).select("n.GeneID", F.col("n.id").alias(item), F.col("c.id").alias("__kept"))
     labels = found.groupBy("GeneID", "__kept").agg(F.array_join(F.array_sort(F.collect_set(item)), "/").alias(f"{item}Cluster"))
     names = materialize(found.join(labels, ["GeneID", "__kept"]), "identical_ids")
-    return rows.join(names, ["GeneID", item]).withColumn(item, F.col("__kept")).drop("__kept")
+    joined = rows.join(small(names), ["GeneID", item], "left").withColumn(f"{item}Cluster", F.coalesce(f"{item}Cluster", item))
+    return joined.withColumn(item, F.coalesce("__kept", item)).drop("__kept")
 
 
 def read(rows: DataFrame, drop_unknown: bool = True) -> DataFrame:

@@ -458,7 +458,8 @@ rc AS (SELECT gene, a, b FROM lk UNION SELECT rc.gene, rc.a, lk.b FROM rc JOIN l
 cl AS (SELECT gene, a AS exon, min(b) AS kept, string_agg(DISTINCT b, '/' ORDER BY b) AS cluster FROM rc GROUP BY 1, 2)
 SELECT trx, rk, kept, cluster FROM pr JOIN cl ON pr.gene = cl.gene AND pr.exon = cl.exon""")
 def identical_exons(spark, sf_dir):
-    x = exons.merge_identical(materialize(exons.proteins(_coding_exons(spark, sf_dir)), "exon_proteins"), "ExonID")
+    found = exons.proteins(_coding_exons(spark, sf_dir)).select("GeneID", "TranscriptID", "ExonRank", "ExonID", "StartPhase", "EndPhase", "GenomicCodingStart", "GenomicCodingEnd", "protein")
+    x = exons.merge_identical(materialize(found, "exon_proteins"), "ExonID")
     return x.select(F.col("TranscriptID").alias("trx"), F.col("ExonRank").alias("rk"), F.col("ExonID").alias("kept"), F.col("ExonIDCluster").alias("cluster"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from splicelake.operators import paths
+from splicelake.operators import exons, paths
 from splicelake.storage import materialize
 
 SEGMENTS = [(f, 10 * f + t % 3, 100 * f + t, n, k) for f in (1, 2) for t in range(12) for k, n in enumerate("abcdefg"[t % 3 : 3 + t % 5])]
@@ -65,3 +65,18 @@ def test_shares_of_sub_paths_join_nothing_again(spark):
         assert r["genes"] == sorted({x["gene"] for x in holds}) and r["n_trx"] == len(holds)
         genes = {x["gene"] for x in rows}
         assert abs(r["weighted_conservation"] - sum(sum(x["gene"] == g for x in holds) / sum(x["gene"] == g for x in rows) for g in genes) / len(genes)) < 1e-9
+
+
+def test_exons_that_equal_no_other_are_not_dealt_out_with_their_ids(spark, monkeypatch):
+    held = {}
+
+    def kept(df, name):
+        held[name] = materialize(df, name)
+        return held[name]
+
+    monkeypatch.setattr(exons, "materialize", kept)
+    rows = [(1, f"e{k:02}", 0, 0, 100 * (k // 2 if k < 4 else k), 100 * k + 9 if k >= 4 else 9, "MKV") for k in range(30)]
+    df = spark.createDataFrame(rows, "GeneID long, ExonID string, StartPhase long, EndPhase long, GenomicCodingStart long, GenomicCodingEnd long, protein string")
+    found = {(r["ExonID"], r["ExonIDCluster"]): r["n"] for r in exons.merge_identical(df, "ExonID").groupBy("ExonID", "ExonIDCluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert held["identical"].count() == 4
+    assert found == {("e00", "e00/e01"): 2, ("e02", "e02/e03"): 2} | {(f"e{k:02}", f"e{k:02}"): 1 for k in range(4, 30)}
