@@ -94,6 +94,18 @@ def store_cluster(df: DataFrame, labels: DataFrame, key: str, label: str, defaul
     return df.join(labels, key, "left").withColumn(label, F.coalesce(F.col(label), default))
 
 
+def store_shared_label(df: DataFrame, members: DataFrame, labels: DataFrame, key: str, group: str, label: str, default: Column) -> DataFrame:
+    """Rows with the label of the group of their key, or a default: members hold (key, group), labels (group, label).
+
+    Long labels of large groups are as much as rows times their length.  Rows
+    meet a group first, are dealt out by it (large ones over several tasks), and
+    take the label last, so that a label is dealt out once for a group, and equal
+    ones lie together where they are written.
+    """
+    found = df.join(members, key, "left").hint("rebalance", group)
+    return found.join(labels, group, "left").withColumn(label, F.coalesce(F.col(label), default)).drop(group)
+
+
 def best_cluster(hits: DataFrame, query: str, cluster: str, coverage: str, identity: str) -> DataFrame:
     """The cluster of each query with most hits, then best coverage, then best identity; ties to the least."""
     g = hits.groupBy(query, cluster).agg(F.count(F.lit(1)).alias("n_hits"), F.max(coverage).alias("best_coverage"), F.max(identity).alias("best_identity"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..operators import alignment, components, exons, intervals, ordered, paths, relational, similarity, trees, users
 from ..sources import sinks, tables
-from ..storage import materialize, shared_folder
+from ..storage import few_bytes, materialize, shared_folder
 from . import families
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
@@ -485,9 +485,11 @@ SELECT l_orderkey, l_linenumber, l_partkey, coalesce(label, CAST(l_partkey AS VA
 def store_cluster(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     groups = part.groupBy("p_brand", "p_name").agg(S.joined_set(F.col("p_partkey").cast("string")).alias("cluster"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    labels = part.join(groups, ["p_brand", "p_name"]).select(F.col("p_partkey").alias("l_partkey"), "cluster")
+    groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "labels")
+    members = part.join(groups.drop("cluster"), ["p_brand", "p_name"]).select(F.col("p_partkey").alias("l_partkey"), "group")
+    labels = groups.select("group", "cluster")
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return relational.store_cluster(lines, labels, "l_partkey", "cluster", F.col("l_partkey").cast("string")).select("l_orderkey", "l_linenumber", "l_partkey", "cluster")
+    return relational.store_shared_label(lines, members, few_bytes(labels, "cluster"), "l_partkey", "group", "cluster", F.col("l_partkey").cast("string")).select("l_orderkey", "l_linenumber", "l_partkey", "cluster")
 
 
 _TSL = "try_cast(split_part(o_orderpriority, '-', 1) AS DOUBLE)"

@@ -39,6 +39,12 @@ def few(table: DataFrame, most: int = 1 << 17) -> bool:
     return table.count() <= most
 
 
+def few_bytes(table: DataFrame, column: str, most: int = 1 << 26) -> DataFrame:
+    """A written table, for each task to hold whole if it has few rows and the texts of its long column take few bytes."""
+    taken = table.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return F.broadcast(table) if taken <= most and few(table) else table
+
+
 def small(table: DataFrame, most: int = 1 << 17) -> DataFrame:
     """A written table, for each task to hold whole if it has few rows: larger ones then meet it where they lie."""
     return F.broadcast(table) if few(table, most) else table

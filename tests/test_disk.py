@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from splicelake.operators import exons, paths
+from splicelake.plans import queries
 from splicelake.storage import materialize
 
 SEGMENTS = [(f, 10 * f + t % 3, 100 * f + t, n, k) for f in (1, 2) for t in range(12) for k, n in enumerate("abcdefg"[t % 3 : 3 + t % 5])]
@@ -80,3 +81,17 @@ def test_exons_that_equal_no_other_are_not_dealt_out_with_their_ids(spark, monke
     found = {(r["ExonID"], r["ExonIDCluster"]): r["n"] for r in exons.merge_identical(df, "ExonID").groupBy("ExonID", "ExonIDCluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert held["identical"].count() == 4
     assert found == {("e00", "e00/e01"): 2, ("e02", "e02/e03"): 2} | {(f"e{k:02}", f"e{k:02}"): 1 for k in range(4, 30)}
+
+
+def test_labels_of_groups_come_after_rows_are_dealt_out(spark, tmp_path):
+    parts = [(k, f"b{k % 3}", f"n{k % 4}" if k < 30 else f"own{k}") for k in range(40)]
+    lines = [(o, k, (7 * o + k) % 45) for o in range(50) for k in range(3)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = queries.queries()["store_cluster"](spark, str(tmp_path))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(found) and "BroadcastHashJoin" in plan(found)
+    members = {}
+    for k, b, n in parts:
+        members.setdefault((b, n), []).append(str(k))
+    label = {int(k): "/".join(sorted(m)) for m in members.values() if len(m) > 1 for k in m}
+    assert sorted(tuple(r) for r in found.collect()) == [(o, k, p, label.get(p, str(p))) for o, k, p in sorted(lines)]
