@@ -45,26 +45,36 @@ def prune(nodes: DataFrame, tree: str, keep: DataFrame) -> DataFrame:
     contracted into it, their lengths added (null if no one has one).  With the
     leaves that stay numbered in preorder, a node holds an interval of them, and
     nodes that hold the same one are the chain that becomes one node: no
-    iteration, whatever the depth.  A tree without a leaf that stays is gone.
+    iteration, whatever the depth.  Nodes are dealt out once, by tree.  A tree
+    without a leaf that stays is gone.
     """
-    keys = [tree, "name"] if tree in keep.columns else ["name"]
     leaf = F.col("pre") == F.col("post")
-    named = nodes.join(keep.dropDuplicates(keys), keys, "left").withColumn("__kept", (leaf & F.col("label").isNotNull()).cast("long"))
-    upto = F.sum("__kept").over(Window.partitionBy(tree).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
-    named = named.withColumn("__upto", upto)
-    ends = named.select(F.col(tree).alias("__t"), F.col("pre").alias("__end"), F.col("__upto").alias("__hi"))
-    held = named.join(ends, (F.col(tree) == F.col("__t")) & (F.col("post") == F.col("__end"))).withColumn("__lo", F.col("__upto") - F.col("__kept"))
-    held = held.where("__hi > __lo")
-    chain = held.groupBy(tree, "__lo", "__hi").agg(
-        F.max_by(F.struct("node", F.when(leaf, F.col("label")).otherwise(F.col("name")).alias("name"), "pre", "post"), "pre").alias("n"),
-        F.min_by("parent", "pre").alias("__above"),
-        F.sum("length").alias("length"),
-    )
-    above = held.select(F.col(tree).alias("__t"), F.col("node").alias("__node"), F.col("__lo").alias("__l"), F.col("__hi").alias("__h"))
-    x = chain.join(above, (F.col(tree) == F.col("__t")) & (F.col("__above") == F.col("__node")), "left")
-    heads = chain.select(F.col(tree).alias("__t2"), F.col("__lo").alias("__l2"), F.col("__hi").alias("__h2"), F.col("n.node").alias("parent"))
-    x = x.join(heads, (F.col(tree) == F.col("__t2")) & (F.col("__l") == F.col("__l2")) & (F.col("__h") == F.col("__h2")), "left")
-    return x.select(tree, "n.node", "parent", "n.name", F.when(F.col("parent").isNotNull(), F.col("length")).alias("length"), "n.pre", "n.post")
+    plain = ("node", "parent", "name", "length", "pre", "post")
+    nodes = nodes.where(F.col(tree).isNotNull())
+    if tree in keep.columns:  # labels come along where nodes are dealt out, by tree; all that follows stays there
+        asked = keep.where(F.col("name").isNotNull()).select(tree, "name", "label")
+        both = nodes.select(tree, *plain).unionByName(asked, allowMissingColumns=True).repartition(tree)
+        named = both.withColumn("label", F.max("label").over(Window.partitionBy(tree, "name"))).where("node is not null")
+        named = named.withColumn("label", F.when(F.col("name").isNotNull(), F.col("label")))
+    else:
+        named = nodes.join(keep.dropDuplicates(["name"]), "name", "left").select(tree, *plain, "label").repartition(tree)
+    named = named.withColumn("__kept", (leaf & F.col("label").isNotNull()).cast("long"))
+    # a node comes twice, where its subtree begins and where it ends: leaves that stay are counted before and up to there
+    ends = F.explode(F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("out")), F.struct(F.col("post").alias("at"), F.lit(1).alias("out")))).alias("__e")
+    twice = named.select("*", ends).withColumn("__n", F.when(F.col("__e.out") == 0, F.col("__kept")).otherwise(0))
+    twice = twice.withColumn("__upto", F.sum("__n").over(Window.partitionBy(tree).orderBy("__e.at", "__e.out", "pre").rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.max(F.struct("parent", "name", "label", "length", "post"))
+    held = twice.groupBy(tree, "node", "pre").agg(one.alias("v"), F.max(F.when(F.col("__e.out") == 0, F.col("__upto") - F.col("__kept"))).alias("__lo"), F.max(F.when(F.col("__e.out") == 1, F.col("__upto"))).alias("__hi"))
+    held = held.where("__hi > __lo").select(tree, "node", "pre", "v.*", "__lo", "__hi")
+    chain = Window.partitionBy(tree, "__lo", "__hi")
+    held = held.withColumns({"__head": F.max_by("node", "pre").over(chain), "__above": F.min_by("parent", "pre").over(chain), "__sum": F.sum("length").over(chain)})
+    # each tells what head it has, and heads ask the node above their chain for its own
+    tells = F.struct(F.col("node").alias("key"), F.col("__head").alias("head"), F.lit(False).alias("asks"))
+    asks = F.when(F.col("node") == F.col("__head"), F.struct(F.col("__above").alias("key"), F.lit(None).cast(nodes.schema["node"].dataType).alias("head"), F.lit(True).alias("asks")))
+    title = F.when(leaf, F.col("label")).otherwise(F.col("name")).alias("name")
+    x = held.select(tree, "node", title, F.col("__sum").alias("length"), "pre", "post", F.explode(F.array_compact(F.array(tells, asks))).alias("__x"))
+    x = x.withColumn("parent", F.max("__x.head").over(Window.partitionBy(tree, "__x.key"))).where("__x.asks")
+    return x.select(tree, "node", "parent", "name", F.when(F.col("parent").isNotNull(), F.col("length")).alias("length"), "pre", "post")
 
 
 def _number(length: Column) -> Column:

@@ -922,7 +922,7 @@ def pruned_trees(spark, sf_dir):
     text = F.concat(F.lit("("), F.array_join(F.transform("v", lambda x: x["t"]), ",("), F.repeat(F.lit("):1"), n), F.lit(";"))
     nodes = trees.read_newick(texts.select("l_orderkey", text.alias("newick")), "l_orderkey", "newick")
     keep = lines.where("l_partkey % 3 <> 0").select("l_orderkey", F.concat(F.lit("L"), "i").alias("name"), F.concat(F.lit("S"), "l_suppkey").alias("label"))
-    return trees.newick(materialize(trees.prune(materialize(nodes, "nodes"), "l_orderkey", keep), "pruned"), "l_orderkey")
+    return trees.newick(trees.prune(materialize(nodes, "nodes"), "l_orderkey", keep), "l_orderkey")
 
 
 @query("""WITH RECURSIVE r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_partkey % 97 AS a, l_partkey % 97 + 1 + CAST(l_quantity AS BIGINT) % 9 AS b FROM lineitem),

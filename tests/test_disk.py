@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from splicelake.operators import exons, paths
+from splicelake.operators import exons, paths, trees
 from splicelake.plans import queries
 from splicelake.storage import materialize
 
@@ -95,3 +95,13 @@ def test_labels_of_groups_come_after_rows_are_dealt_out(spark, tmp_path):
         members.setdefault((b, n), []).append(str(k))
     label = {int(k): "/".join(sorted(m)) for m in members.values() if len(m) > 1 for k in m}
     assert sorted(tuple(r) for r in found.collect()) == [(o, k, p, label.get(p, str(p))) for o, k, p in sorted(lines)]
+
+
+def test_nodes_of_trees_are_dealt_out_once(spark):
+    rows = [(t, "((a:1,b:2)x:3,(c:4,d:5)y:6)r;") for t in range(20)]
+    nodes = materialize(trees.read_newick(spark.createDataFrame(rows, "t long, newick string"), "t", "newick"), "nodes")
+    keep = spark.createDataFrame([(t, n, f"{n}{t}") for t in range(20) for n in "abc"[: t % 4]], "t long, name string, label string")
+    found = trees.newick(trees.prune(nodes, "t", keep), "t")
+    assert plan(found).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(found)
+    want = {1: "a{0};", 2: "(a{0}:1,b{0}:2)x;", 3: "((a{0}:1,b{0}:2)x:3,c{0}:10)r;"}
+    assert {r["t"]: r["newick"] for r in found.collect()} == {t: want[t % 4].format(t) for t in range(20) if t % 4}
