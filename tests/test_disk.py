@@ -105,3 +105,18 @@ def test_nodes_of_trees_are_dealt_out_once(spark):
     assert plan(found).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(found)
     want = {1: "a{0};", 2: "(a{0}:1,b{0}:2)x;", 3: "((a{0}:1,b{0}:2)x:3,c{0}:10)r;"}
     assert {r["t"]: r["newick"] for r in found.collect()} == {t: want[t % 4].format(t) for t in range(20) if t % 4}
+
+
+def test_letters_of_sub_paths_are_counted_under_numbers(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name):
+        written[name] = df.columns
+        return materialize(df, name)
+
+    monkeypatch.setattr(paths, "materialize", kept)
+    held = materialize(spark.createDataFrame([(1, "start/a/b/stop", [1, 2]), (1, "start/stop", [1])], "family long, sub string, genes array<long>"), "held")
+    rows = spark.createDataFrame([(1, 1, "a", "MK-"), (1, 2, "a", "MR-"), (1, 1, "b", "VV")], "family long, gene long, node string, aligned string")
+    found = {r["sub"]: tuple(r)[2:] for r in paths.subpath_residues(held, rows).collect()}
+    assert "sub" not in written["subpath_rows"]
+    assert found == {"start/a/b/stop": (2, 3.0, 4, "MXVV"), "start/stop": (0, 0.0, 0, "")}
